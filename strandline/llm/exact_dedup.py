@@ -17,7 +17,16 @@ from pyspark.sql import functions as F
 
 from .common import fresh_dir, join_counted, possible_members, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE = "spark.sql.streaming.stateStore"
+#: State on disk, with an executor's native memory for all its state partitions bounded.
+STATE_CONF = {
+    f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STATE}.rocksdb.boundedMemoryUsage": "true",
+    f"{_STATE}.rocksdb.maxMemoryUsageMB": "128",
+    f"{_STATE}.rocksdb.writeBufferSizeMB": "4",
+    f"{_STATE}.maintenanceInterval": "10s",
+}
 #: So many copies are compared with one replica of the text that stays.
 COPIES_A_REPLICA = 256
 
@@ -43,9 +52,8 @@ class StreamingDedup:
         landed = digests.select("doc_id", "digest", F.monotonically_increasing_id().alias("locator"))
         landed.write.mode("append").parquet(f"{self.root}/landed")
         conf = self.spark.conf
-        keys = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
-        before = {k: conf.get(k, None) for k in keys}
-        for k, v in keys.items():
+        before = {k: conf.get(k, None) for k in STATE_CONF}
+        for k, v in STATE_CONF.items():
             conf.set(k, v)
         try:
             stream = self.spark.readStream.schema(landed.schema)
