@@ -58,13 +58,12 @@ def possible_members(df: DataFrame, key: Column, members: DataFrame, member_key:
     )
 
 
-def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+def join_counted(rows: DataFrame, table: DataFrame, keys: str | list[str], count: str, total: int) -> DataFrame:
     """rows joined with a table that has one row a key, and in `count` how many of rows have the key.
 
     Keys with at least total / MAX_BROADCAST_ROWS rows are so few that they are
     broadcast; the others are shuffled, and none of those is large.
     """
     least = max(1000, -(-total // MAX_BROADCAST_ROWS))
-    hot = F.broadcast(table.filter(F.col(count) >= least))
-    cold = table.filter(F.col(count) < least)
-    return rows.join(hot, key).unionByName(rows.join(F.broadcast(table.filter(F.col(count) >= least).select(key)), key, "left_anti").join(cold, key, how))
+    hot, cold = table.filter(F.col(count) >= least), table.filter(F.col(count) < least)
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(cold, keys))
