@@ -36,13 +36,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit(docs))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find
+
+    return find(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import describe, store
 
     return describe(store(table(spark, sf_dir, "documents"))).drop("clips")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op3_language_id": op3_language_id, "op5_media": op5_media, "op10_packing": op10_packing}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op3_language_id": op3_language_id, "op4_pii": op4_pii, "op5_media": op5_media, "op10_packing": op10_packing}
 
 SQL = {
     "op1_exact_dedup": r"""
