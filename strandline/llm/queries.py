@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .line_dedup import oracle as line_dedup_sql
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,6 +17,20 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_boilerplate
+
+    return drop_boilerplate(table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,7 +64,7 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe(store(table(spark, sf_dir, "documents"))).drop("clips")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op3_language_id": op3_language_id, "op4_pii": op4_pii, "op5_media": op5_media, "op10_packing": op10_packing}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op3_language_id": op3_language_id, "op4_pii": op4_pii, "op5_media": op5_media, "op8_token_counts": op8_token_counts, "op9_line_dedup": op9_line_dedup, "op10_packing": op10_packing}
 
 SQL = {
     "op1_exact_dedup": r"""
@@ -56,4 +72,5 @@ SQL = {
         g AS (SELECT h, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY h)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM n JOIN g USING (h)
     """,
+    "op9_line_dedup": line_dedup_sql(),
 }
