@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 from .common import fresh_dir, join_counted, possible_members, written
 
 _STATE = "spark.sql.streaming.stateStore"
-#: State on disk, with an executor's native memory for all its state partitions bounded.
+#: State on disk, an executor's native memory for all its state partitions bounded, no disk preallocated for small ones.
 STATE_CONF = {
     f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true",
     f"{_STATE}.rocksdb.boundedMemoryUsage": "true",
     f"{_STATE}.rocksdb.maxMemoryUsageMB": "128",
     f"{_STATE}.rocksdb.writeBufferSizeMB": "4",
+    f"{_STATE}.rocksdb.allowFAllocate": "false",
     f"{_STATE}.maintenanceInterval": "10s",
 }
 #: So many copies are compared with one replica of the text that stays.
