@@ -37,11 +37,8 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def possible_members(df: DataFrame, key: Column, members: DataFrame, member_key: Column, bits: int = FILTER_BITS) -> DataFrame:
-    """The rows of df whose key may be among members: a bitmap of fixed size, so false hits occur, misses don't.
-
-    Rows are thereby dropped before a shuffle; an exact join must follow.
-    """
+def _marked(df: DataFrame, key: Column, members: DataFrame, member_key: Column, bits: int) -> DataFrame:
+    """df with _maybe: whether its key may be among members, by a broadcast bitmap of fixed size."""
     slot = lambda k: F.pmod(F.xxhash64(k), F.lit(bits)) + 1
     marks = (
         members.select(slot(member_key).alias("_slot"))
@@ -49,13 +46,28 @@ def possible_members(df: DataFrame, key: Column, members: DataFrame, member_key:
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
     )
     byte = "conv(hex(substring(_bits, cast(bitmap_bit_position(_slot) div 8 as int) + 1, 1)), 16, 10)"
-    return (
-        df.withColumn("_slot", slot(key))
-        .withColumn("_bucket", F.bitmap_bucket_number("_slot"))
-        .join(F.broadcast(marks), "_bucket")
-        .filter(f"bit_get(cast({byte} as int), cast(bitmap_bit_position(_slot) % 8 as int)) = 1")
-        .drop("_slot", "_bucket", "_bits")
-    )
+    maybe = F.coalesce(F.expr(f"bit_get(cast({byte} as int), cast(bitmap_bit_position(_slot) % 8 as int)) = 1"), F.lit(False))
+    slots = df.withColumn("_slot", slot(key)).withColumn("_bucket", F.bitmap_bucket_number("_slot"))
+    return slots.join(F.broadcast(marks), "_bucket", "left").withColumn("_maybe", maybe).drop("_slot", "_bucket", "_bits")
+
+
+def possible_members(df: DataFrame, key: Column, members: DataFrame, member_key: Column, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of df whose key may be among members: a bitmap of fixed size, so false hits occur, misses don't.
+
+    Rows are thereby dropped before a shuffle; an exact join must follow.
+    """
+    return _marked(df, key, members, member_key, bits).filter("_maybe").drop("_maybe")
+
+
+def without(df: DataFrame, dropped: DataFrame, keys: list[str], bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of df whose keys (columns of both, never null in dropped) aren't in dropped.
+
+    Only rows that the bitmap can't tell apart from dropped ones are shuffled.
+    """
+    key = F.struct(*[F.col(k) for k in keys])
+    marked = _marked(df, key, dropped, key, bits)
+    sure, maybe = marked.filter("not _maybe").drop("_maybe"), marked.filter("_maybe").drop("_maybe")
+    return sure.unionByName(maybe.join(dropped.select(*keys).distinct(), keys, "left_anti").select(df.columns))
 
 
 def join_counted(rows: DataFrame, table: DataFrame, keys: str | list[str], count: str, total: int) -> DataFrame:

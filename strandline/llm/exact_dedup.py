@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, join_counted, possible_members, written
+from .common import fresh_dir, join_counted, possible_members, without, written
 
 _STATE = "spark.sql.streaming.stateStore"
 #: State on disk, an executor's native memory for all its state partitions bounded, no disk preallocated for small ones.
@@ -135,3 +135,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = again.landed()
     exact = join_counted(whole, written(again.groups(), "groups"), "digest", "group_size", total)
     return exact.select("doc_id", F.col("holder.doc_id").alias("keep_id"), "group_size", (F.col("locator") == F.col("holder.locator")).alias("kept"), F.lower(F.substring(F.hex("digest"), 1, 64)).alias("text_sha256"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that exact_dedup keeps, with all their columns."""
+    ruled = written(exact_dedup(docs, id_col, text_col), "ruled")
+    no_id, sha = "_no_id", "_sha"
+    keyed = docs.withColumn(no_id, F.col(id_col).isNull()).withColumn(sha, F.sha2(normalised(F.col(text_col)), 256))
+    # A key of its own for a null id; the id's value is irrelevant then.
+    keyed = keyed.withColumn("_id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    rules = ruled.select(F.col("doc_id").isNull().alias(no_id), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_sha256").alias(sha), "kept")
+    keys = [no_id, "_id", sha]
+    verdict = rules.filter("not kept").select(*keys).join(rules.filter("kept").select(*keys), keys, "left_anti")
+    out = without(keyed, verdict, keys)
+    if not rules.filter("not kept").join(rules.filter("kept").select(*keys), keys, "left_semi").isEmpty():
+        out = out.dropDuplicates(keys)  # rows repeated under one id
+    return out.select(docs.columns)

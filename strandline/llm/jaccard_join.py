@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_counted, possible_members, written
+from .common import join_counted, possible_members, without, written
 from .components import components
 from .shingles import SIZE, shingle_sets
 from .tokenise import groups as slices
@@ -386,3 +386,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = join_counted(meta.filter("n > 0").select("doc_id", "n", "node"), labelled, "node", "copies", totals.docs)
     empty = meta.filter("n = 0").select("doc_id", "n", "node", F.lit(0).cast("long").alias("copies"), F.col("doc_id").alias("component_id"))
     return full.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component the documents under its smallest id, with all their columns; rows without an id stay."""
+    ruled = near_duplicates(docs, id_col, text_col)
+    dropped = written(ruled.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)), "dropped")
+    return without(docs, dropped, [id_col])

@@ -182,3 +182,16 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], out.names)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, out)
+
+
+def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The documents that identify doesn't reject, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([bool(m) and not m.predict(x)[2] for x in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
