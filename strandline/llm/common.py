@@ -37,7 +37,7 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _marked(df: DataFrame, key: Column, members: DataFrame, member_key: Column, bits: int) -> DataFrame:
+def mark_members(df: DataFrame, key: Column, members: DataFrame, member_key: Column, bits: int = FILTER_BITS) -> DataFrame:
     """df with _maybe: whether its key may be among members, by a broadcast bitmap of fixed size."""
     slot = lambda k: F.pmod(F.xxhash64(k), F.lit(bits)) + 1
     marks = (
@@ -56,7 +56,7 @@ def possible_members(df: DataFrame, key: Column, members: DataFrame, member_key:
 
     Rows are thereby dropped before a shuffle; an exact join must follow.
     """
-    return _marked(df, key, members, member_key, bits).filter("_maybe").drop("_maybe")
+    return mark_members(df, key, members, member_key, bits).filter("_maybe").drop("_maybe")
 
 
 def without(df: DataFrame, dropped: DataFrame, keys: list[str], bits: int = FILTER_BITS) -> DataFrame:
@@ -65,7 +65,7 @@ def without(df: DataFrame, dropped: DataFrame, keys: list[str], bits: int = FILT
     Only rows that the bitmap can't tell apart from dropped ones are shuffled.
     """
     key = F.struct(*[F.col(k) for k in keys])
-    marked = _marked(df, key, dropped, key, bits)
+    marked = mark_members(df, key, dropped, key, bits)
     sure, maybe = marked.filter("not _maybe").drop("_maybe"), marked.filter("_maybe").drop("_maybe")
     return sure.unionByName(maybe.join(dropped.select(*keys).distinct(), keys, "left_anti").select(df.columns))
 

@@ -23,6 +23,12 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("node")
 
 
+def op7_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .span_dedup import drop_repeats
+
+    return drop_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,7 +76,7 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe(store(table(spark, sf_dir, "documents"))).drop("clips")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op3_language_id": op3_language_id, "op4_pii": op4_pii, "op5_media": op5_media, "op6_jaccard_join": op6_jaccard_join, "op8_token_counts": op8_token_counts, "op9_line_dedup": op9_line_dedup, "op10_packing": op10_packing}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op3_language_id": op3_language_id, "op4_pii": op4_pii, "op5_media": op5_media, "op6_jaccard_join": op6_jaccard_join, "op7_span_dedup": op7_span_dedup, "op8_token_counts": op8_token_counts, "op9_line_dedup": op9_line_dedup, "op10_packing": op10_packing}
 
 SQL = {
     "op1_exact_dedup": r"""

@@ -22,27 +22,37 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 LOWER, WHITE = _tables()
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts in order, and the number of words of each text.
+class Words:
+    """All words of all texts in order: hashes, where each begins and ends in data, and how many each text has.
 
-    Words are runs of bytes other than ASCII white space, A-Z in lower case.
+    Words are runs of bytes other than ASCII white space, A-Z in lower case for
+    their hashes. data holds the texts' UTF-8, a space after each.
     """
-    raw = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    white = WHITE[data]
-    begins = np.flatnonzero(~white & np.concatenate([[True], white[:-1]]))
-    lengths = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
-    counts = np.diff(np.append(np.searchsorted(begins, np.cumsum(lengths) - lengths), len(begins)))
-    if not len(begins):
-        return np.zeros(0, np.uint64), counts
-    ends = np.flatnonzero(white & np.concatenate([[False], ~white[:-1]]))
-    size = ends - begins
-    chars = LOWER[data[~white]]
-    first = np.cumsum(size) - size
-    pos = np.arange(len(chars)) - np.repeat(first, size)
-    with np.errstate(over="ignore"):
-        h = (chars.astype(np.uint64) + np.uint64(1)) * powers(int(size.max()))[pos]
-        return mix(np.add.reduceat(h, first) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), counts
+
+    def __init__(self, texts: list[str]):
+        raw = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
+        self.data = data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+        self.text_begins = np.cumsum(lengths) - lengths
+        white = WHITE[data]
+        self.begins = np.flatnonzero(~white & np.concatenate([[True], white[:-1]]))
+        self.counts = np.diff(np.append(np.searchsorted(self.begins, self.text_begins), len(self.begins)))
+        self.ends = np.flatnonzero(white & np.concatenate([[False], ~white[:-1]]))
+        self.hashes = np.zeros(0, np.uint64)
+        if len(self.begins):
+            size = self.ends - self.begins
+            chars = LOWER[data[~white]]
+            first = np.cumsum(size) - size
+            pos = np.arange(len(chars)) - np.repeat(first, size)
+            with np.errstate(over="ignore"):
+                h = (chars.astype(np.uint64) + np.uint64(1)) * powers(int(size.max()))[pos]
+                self.hashes = mix(np.add.reduceat(h, first) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts in order, and the number of words of each text."""
+    words = Words(texts)
+    return words.hashes, words.counts
 
 
 def shingle_hashes(words: np.ndarray, size: int = SIZE) -> np.ndarray:
