@@ -7,9 +7,9 @@ prefixes), so only documents that meet there are candidates:
 1. Equal sets become one node; nodes with identical prefixes and size become one
    group, and groups alone are listed under their prefix's shingles.
 2. Shingles are ordered by hash. Where more groups meet at a shingle than
-   CROWD, it is put at the end of the order, and the documents that had it in
-   their prefix are listed again, until no new shingle is crowded. Documents
-   that consist mainly of crowded shingles meet at those in the end.
+   CROWD, it is put at the end of the order, with all others that are as
+   frequent among the documents concerned, and those documents are listed
+   again. Documents that consist mainly of crowded shingles meet at those.
 3. Group pairs are filtered by size, expanded to their members, and filtered by
    a bitmap of each set's parities, a lower bound on the difference.
 4. What is left falls into candidate clusters. Each set travels to its cluster
@@ -120,56 +120,68 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, out)
 
 
-def postings(docs: DataFrame, size: int, rounds: list[np.ndarray], buckets: int) -> DataFrame:
-    """bucket, and as packed arrays: shingle, gid, size. rounds: the crowded shingles that each earlier round found.
+class Order:
+    """The shingles' order in a round, and which documents take part.
 
-    Later rounds list only documents whose earlier prefix held one of the last
-    round's crowded shingles; their nodes stand for themselves.
+    asked: (crowded so far, newly crowded) of each earlier listing; a document
+    takes part if each time its prefix held one of the new ones. crowded: those
+    that are last now.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(rounds)
+
+    def __init__(self, asked: list[tuple[np.ndarray, np.ndarray]] | None = None, crowded: np.ndarray | None = None):
+        self.asked, self.crowded = asked or [], np.zeros(0, np.uint64) if crowded is None else crowded
+
+    def takes(self, shingles: np.ndarray) -> bool:
+        """Sets of less than three link only with equal ones."""
+        return len(shingles) >= DEN - 1 and all(in_sorted(prefix(shingles, before), new).any() for before, new in self.asked)
+
+
+def packed(bucket: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """A row for each bucket with its part of every column as bytes."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    begins = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    ends = np.append(begins[1:], len(bucket))
+    out = [pa.array(bucket[begins], pa.int64())]
+    for x in columns:
+        x = x[order]
+        out.append(pa.array([x[i:j].tobytes() for i, j in zip(begins.tolist(), ends.tolist())], pa.binary()))
+    return pa.RecordBatch.from_arrays(out, ["bucket", *names])
+
+
+def postings(docs: DataFrame, size: int, order: Order, buckets: int, whole: bool = False) -> DataFrame:
+    """bucket, and as packed arrays: shingle t, group g, size s of the prefixes; with whole all shingles, t alone.
+
+    In the first round groups share prefix and size; later nodes stand for themselves.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = shared.value
+        now = shared.value
         held: list[tuple] = []
         seen: set[int] = set()
         count = 0
 
         def flush() -> pa.RecordBatch:
             t = np.concatenate([h[0] for h in held])
+            bucket = (t % np.uint64(buckets)).astype(np.int64)
+            if whole:
+                return packed(bucket, [t], ["t"])
             n = np.array([len(h[0]) for h in held])
-            g, s = np.repeat(np.array([h[1] for h in held], np.int64), n), np.repeat(np.array([h[2] for h in held], np.int64), n)
-            b = (t % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(b, kind="stable")
-            t, g, s, b = t[order], g[order], s[order], b[order]
-            cut = np.flatnonzero(np.diff(b)) + 1
-            ends = np.append(cut, len(b))
-            begins = np.append(0, cut)
-            columns = [pa.array(b[begins], pa.int64())]
-            for x in (t, g, s.astype(np.int32)):
-                columns.append(pa.array([x[i:j].tobytes() for i, j in zip(begins, ends)], pa.binary()))
-            return pa.RecordBatch.from_arrays(columns, ["bucket", "t", "g", "s"])
+            g, s = np.repeat(np.array([h[1] for h in held], np.int64), n), np.repeat(np.array([h[2] for h in held], np.int32), n)
+            return packed(bucket, [t, g, s], ["t", "g", "s"])
 
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for part in slices([x or "" for x in texts]):
                 for x in shingle_sets(texts[part], size):
-                    n = len(x)
-                    if n < DEN - 1:  # links only with equal sets
-                        continue
-                    before = np.zeros(0, np.uint64)
-                    active = True
-                    for new in found:
-                        if not in_sorted(prefix(x, before), new).any():
-                            active = False
-                            break
-                        before = np.union1d(before, new)
-                    if not active:
+                    if not now.takes(x):
                         continue
-                    p = prefix(x, before)
-                    gid = digest(x, 1) if found else digest(np.append(p, np.uint64(n)), 2)
+                    p = x if whole else prefix(x, now.crowded)
+                    gid = digest(x, 1) if whole or now.asked else digest(np.append(p, np.uint64(len(x))), 2)
                     if gid not in seen:
                         seen.add(gid)
-                        held.append((p, gid, n))
+                        held.append((p, gid, len(x)))
                         count += len(p)
                 if count >= FLUSH:
                     yield flush()
@@ -178,7 +190,24 @@ def postings(docs: DataFrame, size: int, rounds: list[np.ndarray], buckets: int)
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket long, t binary, g binary, s binary")
+    return docs.select("text").mapInArrow(run, "bucket long, t binary" + ("" if whole else ", g binary, s binary"))
+
+
+def frequent(listed: DataFrame, tasks: int, least: int) -> DataFrame:
+    """(shingle, n) of the shingles that are listed more than `least` times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts.setdefault(b, []).append(t)
+        for b in list(parts):
+            t, n = np.unique(np.frombuffer(b"".join(parts.pop(b)), np.uint64), return_counts=True)
+            t, n = t[n > least], n[n > least]
+            if len(t):
+                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64), pa.int64()), pa.array(n, pa.int64())], ["shingle", "n"])
+
+    return listed.repartition(tasks, "bucket").mapInArrow(run, "shingle long, n long")
 
 
 #: What meets at shingles: PAIR (a, b: groups), CROWDED (a: shingle, b: number of groups), MEMBER (a: shingle, b: group; of a crowded one that is last).
@@ -309,6 +338,11 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, shingles binary")
 
 
+def hashes(rows: DataFrame) -> np.ndarray:
+    """The column shingle, at most MAX_CROWDED rows of it, in order."""
+    return np.sort(np.array([r.shingle for r in rows.select("shingle").collect()], np.int64).view(np.uint64))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, crowd: int = CROWD) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, node.
 
@@ -328,24 +362,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-totals.shingles // 4 // TASK_POSTINGS))
     members = nodes.select("gid", "node")
-    pairs, at_crowded, rounds = [], [], []
+    buckets = tasks * BUCKETS
+    pairs, at_crowded, order = [], [], Order()
     while True:
-        crowded = np.unique(np.concatenate(rounds)) if rounds else np.zeros(0, np.uint64)
-        met = written(meetings(postings(docs, size, rounds, tasks * BUCKETS), tasks, crowded, crowd), "meetings")
-        fresh = met.filter(f"kind = {CROWDED}")
-        if len(crowded) + fresh.count() > MAX_CROWDED:
+        met = written(meetings(postings(docs, size, order, buckets), tasks, order.crowded, crowd), "meetings")
+        fresh = met.filter(f"kind = {CROWDED}").select(F.col("a").alias("shingle"), F.col("b").alias("n"))
+        if fresh.count() + len(order.crowded) > MAX_CROWDED:
             crowd *= 4
             continue
-        kind = "gid" if not rounds else "node"
-        pairs.append((kind, met.filter(f"kind = {PAIR}").select("a", "b").distinct()))
+        pairs.append(met.filter(f"kind = {PAIR}").select("a", "b").distinct())
         at_crowded.append(met.filter(f"kind = {MEMBER}").select(F.col("a").alias("token"), F.col("b").alias("node")))
-        new = np.array([r.a for r in fresh.select("a").collect()], np.int64).view(np.uint64)
+        new = hashes(fresh)
         if not len(new):
             break
-        rounds.append(np.sort(new))
+        asked = [*order.asked, (order.crowded, new)]
+        # What else is crowded among the documents concerned, in their whole sets.
+        more = written(frequent(postings(docs, size, Order(asked), buckets, whole=True), tasks, crowd), "frequent")
+        least = crowd
+        while more.filter(f"n > {least}").count() + len(order.crowded) + len(new) > MAX_CROWDED:
+            least *= 4
+        order = Order(asked, np.union1d(np.union1d(order.crowded, new), hashes(more.filter(f"n > {least}"))))
 
     # Expand groups to their nodes; nodes of one group are candidates too.
-    first, later = pairs[0][1], [p for k, p in pairs if k == "node"]
+    first, later = pairs[0], pairs[1:]
     left, right = members.select(F.col("gid").alias("a"), F.col("node").alias("x")), members.select(F.col("gid").alias("b"), F.col("node").alias("y"))
     expanded = first.join(left, "a").join(right, "b").select("x", "y")
     group_size = members.groupBy("gid").agg(F.count(F.lit(1)).alias("k"))
