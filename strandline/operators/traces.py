@@ -188,7 +188,8 @@ def incoming_edge(edges: DataFrame) -> DataFrame:
 def in_thread(events: DataFrame, tids: DataFrame) -> DataFrame:
     """Events of methods (node_id, pos, ...) for each thread (node_id, tid) that runs them, with an identity."""
     each = events.join(tids, "node_id")
-    return each.withColumn("idx", F.concat_ws("@", "node_id", F.array_join(F.col("pos").cast("array<string>"), "."), F.col("tid").cast("string")))
+    pos = F.array_join(F.col("pos").cast("array<string>"), ".") if dict(events.dtypes)["pos"].startswith("array") else F.col("pos").cast("string")
+    return each.withColumn("idx", F.concat_ws("@", "node_id", pos, F.col("tid").cast("string")))
 
 
 def variables_to_nodes(events: DataFrame) -> DataFrame:
