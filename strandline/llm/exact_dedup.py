@@ -138,16 +138,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that exact_dedup keeps, with all their columns."""
+    """The documents that exact_dedup keeps, with all their columns, whatever those are called."""
     ruled = written(exact_dedup(docs, id_col, text_col), "ruled")
-    no_id, sha = "_no_id", "_sha"
-    keyed = docs.withColumn(no_id, F.col(id_col).isNull()).withColumn(sha, F.sha2(normalised(F.col(text_col)), 256))
-    # A key of its own for a null id; the id's value is irrelevant then.
-    keyed = keyed.withColumn("_id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rules = ruled.select(F.col("doc_id").isNull().alias(no_id), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_sha256").alias(sha), "kept")
-    keys = [no_id, "_id", sha]
-    verdict = rules.filter("not kept").select(*keys).join(rules.filter("kept").select(*keys), keys, "left_anti")
-    out = without(keyed, verdict, keys)
-    if not rules.filter("not kept").join(rules.filter("kept").select(*keys), keys, "left_semi").isEmpty():
+    # A null id is a key of its own.
+    keys = ["no_id", "id", "sha"]
+    key = lambda c, sha: (F.col(c).isNull().alias("no_id"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("id"), sha.alias("sha"))
+    keyed = docs.select(F.struct("*").alias("row"), *key(id_col, F.sha2(normalised(F.col(text_col)), 256)))
+    rules = ruled.select(*key("doc_id", F.col("text_sha256")), "kept")
+    kept, lost = rules.filter("kept").select(*keys), rules.filter("not kept").select(*keys)
+    out = without(keyed, lost.join(kept, keys, "left_anti"), keys)
+    if not lost.join(kept, keys, "left_semi").isEmpty():
         out = out.dropDuplicates(keys)  # rows repeated under one id
-    return out.select(docs.columns)
+    return out.select("row.*")

@@ -430,5 +430,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component the documents under its smallest id, with all their columns; rows without an id stay."""
     ruled = near_duplicates(docs, id_col, text_col)
-    dropped = written(ruled.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)), "dropped")
-    return without(docs, dropped, [id_col])
+    dropped = written(ruled.filter("doc_id <> component_id").select(F.col("doc_id").alias("id")), "dropped")
+    return without(docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id")), dropped, ["id"]).select("row.*")

@@ -148,15 +148,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents as often as the mix takes them, with all their columns."""
     mixed = written(mix(docs, id_col, text_col, source_col, **options).select("doc_id", "size", "copies"), "mixed")
-    key = lambda c: F.struct(F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit("")))
-    counts = mixed.select(key("doc_id").alias("_key"), "size", "copies")
-    keyed = docs.withColumn("_key", key(id_col))
-    on = ["_key"]
-    if not counts.groupBy("_key").count().filter("count > 1").isEmpty():
+    key = lambda c: F.struct(F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit(""))).alias("key")
+    counts = mixed.select(key("doc_id"), "size", "copies")
+    keyed = docs.select(F.struct("*").alias("row"), key(id_col))
+    on = ["key"]
+    if not counts.groupBy("key").count().filter("count > 1").isEmpty():
         # Rows repeated under one id are told apart by their size and a number.
-        numbered = lambda df, order: df.withColumn("_n", F.row_number().over(W.partitionBy("_key", "_size").orderBy(order)))
-        counts = numbered(counts.withColumnRenamed("size", "_size"), F.desc("copies"))
-        keyed = numbered(keyed.withColumn("_size", words(F.col(text_col))), F.col(text_col))
-        on = ["_key", "_size", "_n"]
-    joined = keyed.join(counts.filter("copies > 0").select(*on, F.col("copies").alias("_copies")), on)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+        numbered = lambda df, order: df.withColumn("number", F.row_number().over(W.partitionBy("key", "size").orderBy(order)))
+        counts = numbered(counts, F.desc("copies"))
+        keyed = numbered(keyed.withColumn("size", words(F.col("row")[text_col])), F.col("row")[text_col])
+        on = ["key", "size", "number"]
+    joined = keyed.join(counts.filter("copies > 0").select(*on, "copies"), on)
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
