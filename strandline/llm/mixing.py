@@ -77,15 +77,17 @@ def solve(classes: DataFrame, targets: dict[int, float], totals: dict[int, int],
         now = spark.createDataFrame([(s, state[s][0]) for s in sorted(todo)], schema)
         rate = F.least(F.lit(cap), F.exp(F.col("x") * F.col("size")))
         slope = F.when(F.col("x") * F.col("size") < top, rate * F.col("size") * F.col("size")).otherwise(0.0)
-        sums = classes.join(F.broadcast(now), "s").groupBy("s").agg(F.sum(rate * F.col("size") * F.col("n")).alias("f"), F.sum(slope * F.col("n")).alias("g")).collect()
+        # Decimal sums don't depend on the order of rows, so reruns agree to the last bit.
+        exact = lambda c: F.sum(c.cast("decimal(38,6)"))
+        sums = classes.join(F.broadcast(now), "s").groupBy("s").agg(exact(rate * F.col("size") * F.col("n")).alias("f"), exact(slope * F.col("n")).alias("g")).collect()
         for r in sums:
             x, lo, hi = state[r.s]
-            off = r.f - targets[r.s]
+            off = float(r.f) - targets[r.s]
             if abs(off) <= near * max(1.0, targets[r.s]):
                 todo.discard(r.s)
                 continue
             lo, hi = (x, hi) if off < 0 else (lo, x)
-            step = x - off / r.g if r.g > 0 else None
+            step = x - off / float(r.g) if r.g > 0 else None
             state[r.s] = [step if step is not None and lo < step < hi else (lo + hi) / 2, lo, hi]
     return {s: v[0] for s, v in state.items()}
 
