@@ -413,7 +413,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     units = placed.select("node", "cluster", "block", other).select("node", F.concat_ws(":", "cluster", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
     leaders = placed.select("leader", "node")
-    texts = possible_members(docs, F.col("doc_id"), leaders, F.col("leader")).join(leaders.select(F.col("leader").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = possible_members(docs, F.col("doc_id"), leaders, F.col("leader"))
+    texts = texts.join(leaders.select("leader").distinct(), F.col("doc_id").eqNullSafe(F.col("leader")), "left_semi")
     sets = written(sets_of(texts, size).dropDuplicates(["node"]), "shingles")
     located = units.join(sets, "node").select("unit", "side", "node", "shingles").repartition(tasks, "unit").sortWithinPartitions("unit")
     links = verify(located)

@@ -90,6 +90,9 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
     table = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (2, "x"), (3, None)], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in J.near_duplicates(table).collect())
     assert got == [(0, 2, 4), (2, 1, 2), (3, 0, 3), (4, 2, 4), (4, 2, 4)]
+    text = " ".join(f"v{i}" for i in range(40))
+    lone = spark.createDataFrame([(None, text), (8, text + " more"), (None, "q " * 9)], table.schema)
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in J.near_duplicates(lone).collect()) == [(0, 0), (0, 8), (8, 8)]
     assert sorted(r.doc_id or 0 for r in J.keep_one(table).collect()) == [0, 2, 3, 4, 4]
     assert J.near_duplicates(table.limit(0)).collect() == []
 
