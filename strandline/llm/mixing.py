@@ -29,7 +29,7 @@ from .common import join_counted, written
 #: The driver holds a few numbers for each source; more sources than this are refused.
 MAX_SOURCES = 100_000
 #: Documents of one source and size are ranked in buckets of about so many.
-BUCKET = 5_000
+BUCKET = 500
 
 
 def words(text: Column) -> Column:
