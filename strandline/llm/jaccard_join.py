@@ -41,7 +41,9 @@ CROWD = 32
 #: Crowded shingles that are broadcast at most (8 bytes each); beyond it CROWD is raised.
 MAX_CROWDED = 1 << 20
 #: Postings of a mapper's flush, and of a reducing task on average; buckets a reducing task.
-FLUSH, TASK_POSTINGS, BUCKETS = 1 << 20, 1 << 21, 8
+FLUSH, TASK_POSTINGS, BUCKETS = 1 << 19, 1 << 21, 8
+#: Bytes of a shingle's key and of a group in a posting.
+KEY, GROUP = 5, 6
 #: Sets of a block in a candidate cluster.
 BLOCK = 400
 #: Similarity as a fraction: 75 / 100.
@@ -53,6 +55,36 @@ def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
+def keys(shingles: np.ndarray) -> np.ndarray:
+    """The upper 40 bits: where documents meet. A chance meeting makes a candidate more, no link."""
+    return shingles >> np.uint64(24)
+
+
+def narrow(values: np.ndarray, width: int) -> np.ndarray:
+    """Unsigned numbers as rows of their lowest bytes."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+
+
+def widen(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def group_key(value: int) -> int:
+    """48 bits of a 64-bit hash; members of groups that share them become candidates too."""
+    return value & ((1 << 48) - 1)
+
+
+#: Sizes travel as 16-bit logarithms; a step of 1 more than the similarity allows covers their rounding.
+SIZE_STEPS = 1024
+SIZE_REACH = int(np.ceil(np.log2(DEN / NUM) * SIZE_STEPS)) + 1
+
+
+def size_code(n: int) -> int:
+    return min(65535, int(np.log2(n) * SIZE_STEPS))
+
+
 def in_sorted(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     if not len(table):
         return np.zeros(len(values), bool)
@@ -66,7 +98,7 @@ def prefix(shingles: np.ndarray, crowded: np.ndarray) -> np.ndarray:
     p = prefix_length(len(shingles))
     if not len(crowded):
         return shingles[:p]
-    last = in_sorted(shingles, crowded)
+    last = in_sorted(keys(shingles), crowded)
     free = shingles[~last][:p]
     return free if len(free) == p else np.concatenate([free, shingles[last][: p - len(free)]])
 
@@ -102,19 +134,26 @@ def difference_fits(difference, a, b):
     return DEN * (a + b - difference) >= NUM * (a + b + difference)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches cut small, so that few texts or sets are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def describe(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n, node (hash of the set), gid (hash of its prefix and size), bitmap; n 0 and nulls for an empty set."""
     out = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("gid", T.LongType()), T.StructField("bitmap", T.BinaryType())])
     none = np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(1).to_pylist()
             rows = []
             for part in slices([x or "" for x in texts]):
                 for s in shingle_sets(texts[part], size):
                     n = len(s)
-                    rows.append((n, digest(s, 1), digest(np.append(prefix(s, none), np.uint64(n)), 2), parities(s)) if n else (0, None, None, None))
+                    rows.append((n, digest(s, 1), group_key(digest(np.append(prefix(s, none), np.uint64(n)), 2)), parities(s)) if n else (0, None, None, None))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]], out.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, out)
@@ -133,7 +172,7 @@ class Order:
 
     def takes(self, shingles: np.ndarray) -> bool:
         """Sets of less than three link only with equal ones."""
-        return len(shingles) >= DEN - 1 and all(in_sorted(prefix(shingles, before), new).any() for before, new in self.asked)
+        return len(shingles) >= DEN - 1 and all(in_sorted(keys(prefix(shingles, before)), new).any() for before, new in self.asked)
 
 
 def packed(bucket: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
@@ -166,22 +205,22 @@ def postings(docs: DataFrame, size: int, order: Order, buckets: int, whole: bool
             t = np.concatenate([h[0] for h in held])
             bucket = (t % np.uint64(buckets)).astype(np.int64)
             if whole:
-                return packed(bucket, [t], ["t"])
+                return packed(bucket, [narrow(t, KEY)], ["t"])
             n = np.array([len(h[0]) for h in held])
-            g, s = np.repeat(np.array([h[1] for h in held], np.int64), n), np.repeat(np.array([h[2] for h in held], np.int32), n)
-            return packed(bucket, [t, g, s], ["t", "g", "s"])
+            g, s = np.repeat(np.array([h[1] for h in held], np.uint64), n), np.repeat(np.array([h[2] for h in held], np.uint16), n)
+            return packed(bucket, [narrow(t, KEY), narrow(g, GROUP), s], ["t", "g", "s"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(0).to_pylist()
             for part in slices([x or "" for x in texts]):
                 for x in shingle_sets(texts[part], size):
                     if not now.takes(x):
                         continue
                     p = x if whole else prefix(x, now.crowded)
-                    gid = digest(x, 1) if whole or now.asked else digest(np.append(p, np.uint64(len(x))), 2)
+                    gid = group_key(digest(x, 1) if whole or now.asked else digest(np.append(p, np.uint64(len(x))), 2))
                     if gid not in seen:
                         seen.add(gid)
-                        held.append((p, gid, len(x)))
+                        held.append((keys(p), gid, size_code(len(x))))
                         count += len(p)
                 if count >= FLUSH:
                     yield flush()
@@ -198,11 +237,11 @@ def frequent(listed: DataFrame, tasks: int, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[bytes]] = {}
-        for batch in batches:
+        for batch in pieces(batches):
             for b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parts.setdefault(b, []).append(t)
         for b in list(parts):
-            t, n = np.unique(np.frombuffer(b"".join(parts.pop(b)), np.uint64), return_counts=True)
+            t, n = np.unique(widen(b"".join(parts.pop(b)), KEY), return_counts=True)
             t, n = t[n > least], n[n > least]
             if len(t):
                 yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64), pa.int64()), pa.array(n, pa.int64())], ["shingle", "n"])
@@ -214,18 +253,23 @@ def frequent(listed: DataFrame, tasks: int, least: int) -> DataFrame:
 PAIR, CROWDED, MEMBER = 0, 1, 2
 
 
+#: Shingles and groups as vertices beside nodes: moved apart from each other.
+MEETING = 1 << 48
+
+
 def meetings(listed: DataFrame, tasks: int, crowded: np.ndarray, crowd: int) -> DataFrame:
     shared = listed.sparkSession.sparkContext.broadcast(crowded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}
-        for batch in batches:
+        for batch in pieces(batches):
             for b, *xs in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 parts.setdefault(b, []).append(xs)
         last = shared.value
         for b in list(parts):
             rows = parts.pop(b)
-            t, g, s = (np.frombuffer(b"".join(r[i] for r in rows), k) for i, k in enumerate((np.uint64, np.int64, np.int32)))
+            t, g = (widen(b"".join(r[i] for r in rows), width) for i, width in enumerate((KEY, GROUP)))
+            g, s = g.view(np.int64), np.frombuffer(b"".join(r[2] for r in rows), np.uint16).astype(np.int32)
             order = np.lexsort((g, t))
             t, g, s = t[order], g[order], s[order]
             keep = np.append(True, (t[1:] != t[:-1]) | (g[1:] != g[:-1]))
@@ -237,7 +281,7 @@ def meetings(listed: DataFrame, tasks: int, crowded: np.ndarray, crowd: int) ->
                 at = begins[m == k][:, None] + np.arange(k)
                 i, j = np.triu_indices(k, 1)
                 a, b2 = at[:, i].ravel(), at[:, j].ravel()
-                fit = sizes_fit(s[a], s[b2])
+                fit = np.abs(s[a] - s[b2]) <= SIZE_REACH
                 out.append(np.stack([g[a[fit]], g[b2[fit]]]))
             if out:
                 pairs = np.unique(np.concatenate(out, axis=1), axis=1) if sum(x.shape[1] for x in out) else np.zeros((2, 0), np.int64)
@@ -257,7 +301,7 @@ def alike(pairs: DataFrame) -> DataFrame:
     """Of node pairs with sizes and bitmaps (a, na, ma, b, nb, mb): those whose bitmaps allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             na, nb = batch.column(1).to_numpy(), batch.column(4).to_numpy()
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(5).to_pylist())):
@@ -312,7 +356,7 @@ def verify(located: DataFrame) -> DataFrame:
             got = forest([r[1] for r in rows], [np.frombuffer(r[2], np.uint64) for r in rows], sides if len(set(sides)) > 1 else None)
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], ["a", "b"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             for u, side, node, s in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if u != unit:
                     if len(rows) > 1:
@@ -329,7 +373,7 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
     """node, shingles (packed) of documents that have any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(0).to_pylist()
             for part in slices([x or "" for x in texts]):
                 got = [x for x in shingle_sets(texts[part], size) if len(x)]
@@ -362,6 +406,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-totals.shingles // 4 // TASK_POSTINGS))
     members = nodes.select("gid", "node")
+    by_key = nodes.select(F.col("node").bitwiseAND((1 << 48) - 1).alias("key"), F.col("node").alias("whole"))
     buckets = tasks * BUCKETS
     pairs, at_crowded, order = [], [], Order()
     while True:
@@ -371,7 +416,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             crowd *= 4
             continue
         pairs.append(met.filter(f"kind = {PAIR}").select("a", "b").distinct())
-        at_crowded.append(met.filter(f"kind = {MEMBER}").select(F.col("a").alias("token"), F.col("b").alias("node")))
+        at_crowded.append(met.filter(f"kind = {MEMBER}").select(F.col("a").alias("token"), F.col("b").alias("key")).join(by_key, "key").select(F.col("token") + MEETING, F.col("whole").alias("node")).toDF("token", "node"))
         new = hashes(fresh)
         if not len(new):
             break
@@ -390,9 +435,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group_size = members.groupBy("gid").agg(F.count(F.lit(1)).alias("k"))
     several = members.join(group_size.filter("k > 1"), "gid")
     inside = several.select("gid", F.col("node").alias("x")).join(several.filter(f"k <= {crowd}").select("gid", F.col("node").alias("y")), "gid").filter("x < y").select("x", "y")
-    crowds = several.filter(f"k > {crowd}").select(F.col("gid").alias("token"), "node")
+    crowds = several.filter(f"k > {crowd}").select((F.col("gid") + 2 * MEETING).alias("token"), "node")
     for p in later:
-        expanded = expanded.unionByName(p.select(F.col("a").alias("x"), F.col("b").alias("y")))
+        with_x = p.join(by_key.select(F.col("key").alias("a"), F.col("whole").alias("x")), "a")
+        expanded = expanded.unionByName(with_x.join(by_key.select(F.col("key").alias("b"), F.col("whole").alias("y")), "b").select("x", "y"))
     every = expanded.unionByName(inside).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     known = nodes.select("node", "n", "bitmap")
     with_a = every.join(known.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma")), "a")
