@@ -11,11 +11,16 @@ def edited(accesses: DataFrame, removed: DataFrame, added: DataFrame) -> DataFra
     return accesses.join(removed.select("idx"), "idx", "left_anti").unionByName(added)
 
 
+def one_sided(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Distinct rows that one side alone has, with `new`: whether that is `after`. One shuffle for both directions."""
+    both = before.withColumn("_after", F.lit(False)).unionByName(after.withColumn("_after", F.lit(True)))
+    sides = both.groupBy(*before.columns).agg(F.bool_or("_after").alias("new"), F.bool_and("_after").alias("_only"))
+    return sides.filter("new = _only").drop("_only")
+
+
 def interest(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Keys of rows that one side alone has: what must be looked at again."""
-    same = before.columns
-    gone, new = before.join(after, same, "left_anti"), after.join(before, same, "left_anti")
-    return gone.select(key).unionByName(new.select(key)).distinct()
+    return one_sided(before, after).select(key).distinct()
 
 
 def only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -25,7 +30,8 @@ def only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 def difference(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(added, removed) findings; rows are sets."""
-    return after.exceptAll(before).distinct(), before.exceptAll(after).distinct()
+    sides = one_sided(before, after)
+    return sides.filter("new").drop("new"), sides.filter("not new").drop("new")
 
 
 def without_variables(accesses: DataFrame, prefixes: list[str]) -> DataFrame:

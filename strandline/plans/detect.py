@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.lineage import cut
 from strandline.operators import changes, deadlocks, locks, races, threads
 from strandline.sources.facts import Facts
 
@@ -19,20 +20,19 @@ def small(df: DataFrame, most: int = MAX_BROADCAST_THREADS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def placed(facts: Facts, accesses: DataFrame | None = None, sections: DataFrame | None = None) -> DataFrame:
+def placed(facts: Facts, paths: DataFrame | None = None) -> DataFrame:
     """Accesses to shared variables with their locks and their thread's path: all that a pair needs to be judged."""
-    accesses = races.nonlocal_accesses(facts.accesses if accesses is None else accesses)
-    sections = locks.critical_sections(facts.locks) if sections is None else sections
-    return locks.with_locksets(accesses, sections).join(small(threads.thread_paths(facts.threads)), "tid")
+    paths = threads.thread_paths(facts.threads) if paths is None else paths
+    return locks.with_locksets(races.nonlocal_accesses(facts.accesses), locks.critical_sections(facts.locks)).join(small(paths), "tid")
 
 
-def unprotected_pairs(facts: Facts) -> DataFrame:
-    return races.unprotected(races.pairs(placed(facts)))
+def unprotected_pairs(facts: Facts, paths: DataFrame | None = None) -> DataFrame:
+    return races.unprotected(races.pairs(placed(facts, paths)))
 
 
-def detect_races(facts: Facts, distance: int | None = None) -> DataFrame:
+def detect_races(facts: Facts, distance: int | None = None, paths: DataFrame | None = None) -> DataFrame:
     """sig, idx1, idx2, tid1, tid2, kind1, kind2, loc1, loc2: conflicting, unprotected, parallel."""
-    return races.named(races.parallel(unprotected_pairs(facts), distance))
+    return races.named(races.parallel(unprotected_pairs(facts, paths), distance))
 
 
 def detect_deadlocks(facts: Facts, gated: bool = False) -> DataFrame:
@@ -56,19 +56,25 @@ def race_changes(before: Facts, after: Facts) -> tuple[DataFrame, DataFrame]:
     Locks and threads are taken from `after`; if they differ, every variable of a
     changed thread counts as changed.
     """
-    keys = changes.interest(before.accesses, after.accesses, "sig")
+    old_accesses, new_accesses = cut(before.accesses), cut(after.accesses)
+    keys = changes.interest(old_accesses, new_accesses, "sig")
     if before.locks is not after.locks or before.threads is not after.threads:
         tids = changes.interest(before.locks, after.locks, "tid").unionByName(changes.interest(before.threads, after.threads, "tid")).distinct()
-        touched = before.accesses.unionByName(after.accesses).join(tids, "tid", "left_semi").select("sig")
+        touched = old_accesses.unionByName(new_accesses).join(tids, "tid", "left_semi").select("sig")
         keys = keys.unionByName(touched).distinct()
-    old, new = (f.with_(accesses=changes.only(f.accesses, keys, "sig")) for f in (before, after))
-    return changes.difference(detect_races(old), detect_races(new))
+    keys = cut(keys)
+    old, new = (f.with_(accesses=changes.only(a, keys, "sig")) for f, a in ((before, old_accesses), (after, new_accesses)))
+    old_paths = threads.thread_paths(before.threads)
+    new_paths = old_paths if after.threads is before.threads else threads.thread_paths(after.threads)
+    return changes.difference(detect_races(old, paths=old_paths), detect_races(new, paths=new_paths))
 
 
 def deadlock_changes(before: Facts, after: Facts, gated: bool = False) -> tuple[DataFrame, DataFrame]:
     """(added, removed) deadlocks; only threads that share a lock with a changed thread are judged again."""
-    tids = changes.interest(before.locks, after.locks, "tid")
-    concerned = before.locks.unionByName(after.locks).join(tids, "tid", "left_semi").select("lk").distinct()
-    near = before.locks.unionByName(after.locks).join(concerned, "lk", "left_semi").select("tid").distinct()
-    old, new = (f.with_(locks=changes.only(f.locks, near, "tid")) for f in (before, after))
+    old_locks, new_locks = cut(before.locks), cut(after.locks)
+    tids = changes.interest(old_locks, new_locks, "tid")
+    every = old_locks.unionByName(new_locks)
+    concerned = every.join(tids, "tid", "left_semi").select("lk").distinct()
+    near = cut(every.join(concerned, "lk", "left_semi").select("tid").distinct())
+    old, new = (f.with_(locks=changes.only(k, near, "tid")) for f, k in ((before, old_locks), (after, new_locks)))
     return changes.difference(detect_deadlocks(old, gated), detect_deadlocks(new, gated))
