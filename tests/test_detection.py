@@ -141,7 +141,7 @@ def rows(df):
     return sorted(map(tuple, df.collect()))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_incremental_is_full_recomputation_and_readding_restores(spark, seed):
     f = random_facts(spark, seed)
     gone = f.accesses.filter("idx % 4 = 1")
