@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side is broadcast whole only with so many rows of a few numbers or digests, about 6 MB.
 MAX_BROADCAST_ROWS = 50_000
+#: Rows of a batch that are Python objects at a time.
+BATCH_ROWS = 500
 #: Bits of the prefilter that `possible_members` broadcasts: 8 MB at any input size.
 FILTER_BITS = 1 << 26
 
@@ -37,6 +44,43 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow with small batches, whose worker gives back what memory a task has freed."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        def pieces() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, BATCH_ROWS):
+                    yield batch.slice(at, BATCH_ROWS)
+
+        yield from run(pieces())
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library; memory then stays with the worker
+            pass
+
+    return df.mapInArrow(bounded, schema)
+
+
+class Shared:
+    """A broadcast value that workers unpickle without having this package."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self.bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        if "held" not in self.__dict__:
+            self.held = pickle.loads(self.bytes.value)
+        return self.held
+
+    def __getstate__(self) -> dict:
+        return {"bytes": self.bytes}
+
+
 def mark_members(df: DataFrame, key: Column, members: DataFrame, member_key: Column, bits: int = FILTER_BITS) -> DataFrame:
     """df with _maybe: whether its key may be among members, by a broadcast bitmap of fixed size."""
     slot = lambda k: F.pmod(F.xxhash64(k), F.lit(bits)) + 1

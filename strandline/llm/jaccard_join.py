@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_counted, possible_members, without, written
+from .common import Shared, join_counted, map_batches, possible_members, without, written
 from .components import components
 from .shingles import SIZE, shingle_sets
 from .tokenise import groups as slices
@@ -134,20 +134,13 @@ def difference_fits(difference, a, b):
     return DEN * (a + b - difference) >= NUM * (a + b + difference)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Batches cut small, so that few texts or sets are Python objects at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def describe(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n, node (hash of the set), gid (hash of its prefix and size), bitmap; n 0 and nulls for an empty set."""
     out = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("gid", T.LongType()), T.StructField("bitmap", T.BinaryType())])
     none = np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in batches:
             texts = batch.column(1).to_pylist()
             rows = []
             for part in slices([x or "" for x in texts]):
@@ -156,7 +149,7 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
                     rows.append((n, digest(s, 1), group_key(digest(np.append(prefix(s, none), np.uint64(n)), 2)), parities(s)) if n else (0, None, None, None))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]], out.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, out)
+    return map_batches(docs.select("doc_id", "text"), run, out)
 
 
 class Order:
@@ -193,7 +186,7 @@ def postings(docs: DataFrame, size: int, order: Order, buckets: int, whole: bool
 
     In the first round groups share prefix and size; later nodes stand for themselves.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+    shared = Shared(docs.sparkSession, order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = shared.value
@@ -210,7 +203,7 @@ def postings(docs: DataFrame, size: int, order: Order, buckets: int, whole: bool
             g, s = np.repeat(np.array([h[1] for h in held], np.uint64), n), np.repeat(np.array([h[2] for h in held], np.uint16), n)
             return packed(bucket, [narrow(t, KEY), narrow(g, GROUP), s], ["t", "g", "s"])
 
-        for batch in pieces(batches):
+        for batch in batches:
             texts = batch.column(0).to_pylist()
             for part in slices([x or "" for x in texts]):
                 for x in shingle_sets(texts[part], size):
@@ -229,7 +222,7 @@ def postings(docs: DataFrame, size: int, order: Order, buckets: int, whole: bool
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket long, t binary" + ("" if whole else ", g binary, s binary"))
+    return map_batches(docs.select("text"), run, "bucket long, t binary" + ("" if whole else ", g binary, s binary"))
 
 
 def frequent(listed: DataFrame, tasks: int, least: int) -> DataFrame:
@@ -237,7 +230,7 @@ def frequent(listed: DataFrame, tasks: int, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[bytes]] = {}
-        for batch in pieces(batches):
+        for batch in batches:
             for b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parts.setdefault(b, []).append(t)
         for b in list(parts):
@@ -246,7 +239,7 @@ def frequent(listed: DataFrame, tasks: int, least: int) -> DataFrame:
             if len(t):
                 yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64), pa.int64()), pa.array(n, pa.int64())], ["shingle", "n"])
 
-    return listed.repartition(tasks, "bucket").mapInArrow(run, "shingle long, n long")
+    return map_batches(listed.repartition(tasks, "bucket"), run, "shingle long, n long")
 
 
 #: What meets at shingles: PAIR (a, b: groups), CROWDED (a: shingle, b: number of groups), MEMBER (a: shingle, b: group; of a crowded one that is last).
@@ -258,11 +251,11 @@ MEETING = 1 << 48
 
 
 def meetings(listed: DataFrame, tasks: int, crowded: np.ndarray, crowd: int) -> DataFrame:
-    shared = listed.sparkSession.sparkContext.broadcast(crowded)
+    shared = Shared(listed.sparkSession, crowded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}
-        for batch in pieces(batches):
+        for batch in batches:
             for b, *xs in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 parts.setdefault(b, []).append(xs)
         last = shared.value
@@ -294,14 +287,14 @@ def meetings(listed: DataFrame, tasks: int, crowded: np.ndarray, crowd: int) ->
                 for i in big[known]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(m[i], MEMBER), pa.int32()), pa.array(np.full(m[i], t[begins[i]]).view(np.int64), pa.int64()), pa.array(g[begins[i] : begins[i] + m[i]], pa.int64())], ["kind", "a", "b"])
 
-    return listed.repartition(tasks, "bucket").mapInArrow(run, "kind int, a long, b long")
+    return map_batches(listed.repartition(tasks, "bucket"), run, "kind int, a long, b long")
 
 
 def alike(pairs: DataFrame) -> DataFrame:
     """Of node pairs with sizes and bitmaps (a, na, ma, b, nb, mb): those whose bitmaps allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in batches:
             na, nb = batch.column(1).to_numpy(), batch.column(4).to_numpy()
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(5).to_pylist())):
@@ -310,7 +303,7 @@ def alike(pairs: DataFrame) -> DataFrame:
             some = batch.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(3)], ["a", "b"])
 
-    return pairs.select("a", "na", "ma", "b", "nb", "mb").mapInArrow(run, "a long, b long")
+    return map_batches(pairs.select("a", "na", "ma", "b", "nb", "mb"), run, "a long, b long")
 
 
 def forest(ids: list[int], sets: list[np.ndarray], side: list[int] | None = None) -> list[tuple[int, int]]:
@@ -356,7 +349,7 @@ def verify(located: DataFrame) -> DataFrame:
             got = forest([r[1] for r in rows], [np.frombuffer(r[2], np.uint64) for r in rows], sides if len(set(sides)) > 1 else None)
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], ["a", "b"])
 
-        for batch in pieces(batches):
+        for batch in batches:
             for u, side, node, s in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if u != unit:
                     if len(rows) > 1:
@@ -366,20 +359,20 @@ def verify(located: DataFrame) -> DataFrame:
         if len(rows) > 1:
             yield close()
 
-    return located.mapInArrow(run, "a long, b long")
+    return map_batches(located, run, "a long, b long")
 
 
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
     """node, shingles (packed) of documents that have any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in batches:
             texts = batch.column(0).to_pylist()
             for part in slices([x or "" for x in texts]):
                 got = [x for x in shingle_sets(texts[part], size) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([digest(x, 1) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], ["node", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "node long, shingles binary")
+    return map_batches(docs.select("text"), run, "node long, shingles binary")
 
 
 def hashes(rows: DataFrame) -> np.ndarray:

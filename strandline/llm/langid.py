@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import written
+from .common import Shared, map_batches, written
 from .tokenise import code_points, mix, worker_cache
 
 DIM = 4096
@@ -149,16 +149,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ngram_counts(lowered(x)).tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["l", "c"])
 
-    got = sorted(sample.select("l", "t").mapInArrow(count, "l string, c binary").collect())
+    got = sorted(map_batches(sample.select("l", "t"), count, "l string, c binary").collect())
     model = Model([np.frombuffer(r.c, np.float32) for r in got], [r.l for r in got])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = [p for x in b.column(0).to_pylist() for p in shared.value.windows(x)]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int32()), pa.array([p[1] for p in pairs], pa.float64())], ["b", "near"])
 
-    low = sample.select("t").mapInArrow(near, "b int, near double").groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.percentile("near", F.lit(0.001)).alias("low")).collect()
+    low = map_batches(sample.select("t"), near, "b int, near double").groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.percentile("near", F.lit(0.001)).alias("low")).collect()
     low = {r.b: r.low for r in low if r.n >= LEAST_WINDOWS}
     for b in range(64):
         model.floor[b] = LENIENCE * low[b] if b in low else (model.floor[b - 1] if b else 0)
@@ -172,7 +172,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     score 0 and rejected. Equal texts get equal answers.
     """
     out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -181,12 +181,12 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             columns = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], out.names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, out)
+    return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("text")), run, out)
 
 
 def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """The documents that identify doesn't reject, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,4 +194,4 @@ def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
         for batch in batches:
             yield batch.filter(pa.array([bool(m) and not m.predict(x)[2] for x in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_batches
+
 WIDTH, HEIGHT = 64, 32
 MS_A_FRAME = 40
 #: Payloads are padded with zero bytes to a positive multiple of this.
@@ -408,7 +410,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 got = [payload(x) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([to_media(p) for _, p in got], pa.binary())], out.names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out)
+    return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, out)
 
 
 CLIP = "first_frame int, last_frame int, start_ms double, end_ms double"
@@ -440,7 +442,7 @@ def describe(media: DataFrame) -> DataFrame:
             got = [row(x.as_buffer().to_pybytes()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([g[i] for g in got], t) for i, t in enumerate(kinds)]], out.names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, out)
+    return map_batches(media.select("doc_id", "n_bytes", "media"), run, out)
 
 
 def clips(described: DataFrame) -> DataFrame:

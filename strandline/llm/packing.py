@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_batches
 from .tokenise import groups, tokeniser
 
 CAPACITY = 1024
@@ -176,4 +177,4 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         if packer.held:
             yield batch(list(packer.flush()), id_type)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out)
+    return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, out)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import Shared, map_batches, written
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("email", "ip", "card", "phone", "name")
@@ -219,7 +219,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scan(x) if x else [] for x in batch.column(1).to_pylist()], arrow)], scanned.names)
 
-    table = written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, scanned), "spans")
+    table = written(map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, scanned), "spans")
     one = table.select("doc_id", F.explode("spans").alias("s"))
     counted = one.groupBy("s.votes").count().collect()  # 3 to the number of labelers at most
     patterns = sorted((tuple(r.votes), r["count"]) for r in counted)
@@ -229,7 +229,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     picked = one.filter(F.pmod(F.xxhash64("doc_id", "s.a"), F.lit(1 << 20)) < part * (1 << 20)).select("s.votes", "s.features").limit(2 * sample_spans).collect()
     sure = posterior([r.votes for r in picked], hit, false, share) if picked else []
     weights = train([(r.features, float(p)) for r, p in sorted(zip(picked, sure), key=lambda x: (x[0].features, x[0].votes))])
-    model = spark.sparkContext.broadcast(weights)
+    model = Shared(spark, weights)
 
     def describe(spans: list[dict]) -> tuple:
         w = model.value
@@ -252,4 +252,4 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
             got = [describe(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([g[i] for g in got], t) for i, t in enumerate(kinds)]], out.names)
 
-    return table.mapInArrow(score, out)
+    return map_batches(table, score, out)

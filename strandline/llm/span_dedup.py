@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mark_members, written
+from .common import map_batches, mark_members, written
 from .shingles import Words
 from .tokenise import groups as slices
 from .tokenise import mix
@@ -164,8 +164,8 @@ def repeated(docs: DataFrame, tasks: int | None = None) -> DataFrame:
             if not first.all():
                 yield out(*(c[~first] for c in columns[1:]))
 
-    sent = docs.select("doc_id", "text").mapInArrow(send, schema)
-    return sent.repartition(tasks, "bucket").mapInArrow(join, "doc_id long, first int, length int")
+    sent = map_batches(docs.select("doc_id", "text"), send, schema)
+    return map_batches(sent.repartition(tasks, "bucket"), join, "doc_id long, first int, length int")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,4 +193,4 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 got = [remove(x, a, b) if a else (x, 0) for x, a, b in zip(few, *(batch.column(i).slice(part.start, len(few)).to_pylist() for i in (2, 3)))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, len(few)), pa.array(counts, pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[0] for g in got], pa.string())], out.names)
 
-    return sure.unionByName(maybe).mapInArrow(run, out)
+    return map_batches(sure.unionByName(maybe), run, out)

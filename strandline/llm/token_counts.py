@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_batches
 from .tokenise import groups, tokeniser, worker_cache
 
 
@@ -106,4 +107,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     picked = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
     if sections_col:
         picked.append(F.col(sections_col).cast("array<struct<start: bigint, end: bigint>>").alias("sections"))
-    return docs.select(picked).mapInArrow(run, out)
+    return map_batches(docs.select(picked), run, out)

@@ -17,7 +17,7 @@ import numpy as np
 #: Words that the table holds before it is emptied.
 TABLE_WORDS = 1 << 20
 #: Texts are taken in groups of about so many characters.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
 
 
 def worker_cache(key, make):
