@@ -175,7 +175,7 @@ def call_reach(spark, sf_dir):
 
 
 def seeds(spark, sf_dir):
-    return source.event_log(spark, sf_dir)[1].filter("tid < 40").select((F.col("tid") % 101).alias("node"), "tid")
+    return source.event_log(spark, sf_dir)[1].select((F.col("tid") % 101).alias("node"), "tid")
 
 
 @query(", t AS (SELECT user_id % 101 AS node, user_id AS tid FROM events WHERE user_id < 40 UNION SELECT e.b, t.tid FROM t JOIN e ON e.a = t.node) SELECT node, tid FROM t", CALLS)
