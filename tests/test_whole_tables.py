@@ -52,3 +52,14 @@ def test_every_thread_is_a_seed(spark, tables, name):
     users = {u for _, u, *_ in EVENTS if name == "tid_propagation" or u % 3 != 0}
     assert any(u >= 40 for u in users)
     assert rows(spark, tables, name) == sorted({(n, u) for u in users for n in below(u % 101) | {u % 101}})
+
+
+def test_changed_methods_compare_all_events(spark, tables):
+    old, new = {}, {}
+    for _, user, kind, value in EVENTS:
+        if user % 7 != 1:
+            old[user] = max(old.get(user, value), value)
+        if user % 7 != 2 and (kind != "error" or user % 2 == 0):
+            new[user] = max(new.get(user, value), value)
+    change = lambda u: "ADDED" if u not in old else "REMOVED" if u not in new else "BODY"
+    assert rows(spark, tables, "changed_methods") == sorted((u, change(u)) for u in old.keys() | new.keys() if old.get(u) != new.get(u))
