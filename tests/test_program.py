@@ -35,6 +35,40 @@ def test_program_findings(program):
     assert [(r.tid1, r.tid2, r.l1, r.l2) for r in detect.detect_deadlocks(facts).collect()] == [("main", "main/run", "L.3", "L.1")]
 
 
+def racing(spark, calls, edges, *more):
+    """Variables raced for when main runs `calls`, set writes a, and run writes it under the lock."""
+    field = lambda f: {"declaring": "E", "field": f, "is_static": True, "uses": [], "def": -1}
+    code = inst(spark, *calls, ("set", 0, "PUT", field("a")), *more, *[("run", i, k, v) for i, (k, v) in enumerate([("ENTER", {"uses": [11]}), ("PUT", field("a")), ("EXIT", {"uses": [11]})])])
+    names = ("main", "set", "mid", "run")
+    who = nodes(spark, *[{"node_id": n, "class": n} for n in names])
+    targets = spark.createDataFrame([(n, v, t, o) for n in names for v, t, o in ((3, "T", "1"), (11, "L", "1"))], "node_id string, value int, obj_type string, obj_id string")
+    program = Program(code, who, spark.createDataFrame(edges, "caller string, iindex int, callee string"), targets, spark.createDataFrame([("T", "run")], "class string, node_id string"))
+    return {r.sig for r in detect.detect_races(facts_of(program, "main")).collect()}
+
+
+START = {"target": "T.start()V", "uses": [3]}
+SET = {"target": "E.set()V", "uses": [9]}
+LOCK = {"uses": [11]}
+
+
+def test_a_caller_protects_only_if_every_call_does(spark):
+    held = [("main", 0, "INVOKE", START), ("main", 1, "ENTER", LOCK), ("main", 2, "INVOKE", SET), ("main", 3, "EXIT", LOCK)]
+    assert racing(spark, [*held, ("main", 4, "INVOKE", SET)], [("main", 2, "set"), ("main", 4, "set")]) == {"E.a"}
+
+
+def test_a_call_before_a_start_hides_none_after_it(spark):
+    early = [("main", 0, "INVOKE", SET), ("main", 1, "INVOKE", START)]
+    assert racing(spark, [*early, ("main", 2, "INVOKE", SET)], [("main", 0, "set"), ("main", 2, "set")]) == {"E.a"}
+
+
+def test_calls_through_a_cycle_settle(spark):
+    """mid locks, then calls set and itself: every way to set holds the lock."""
+    more = [("mid", 0, "ENTER", LOCK), ("mid", 1, "INVOKE", SET), ("mid", 2, "INVOKE", SET), ("mid", 3, "EXIT", LOCK)]
+    calls = [("main", 0, "INVOKE", START), ("main", 1, "INVOKE", SET)]
+    edges = [("main", 1, "mid"), ("mid", 1, "set"), ("mid", 2, "mid")]
+    assert racing(spark, calls, edges, *more) == set()
+
+
 def test_inclusion_constraints(spark):
     t = lambda rows, schema: spark.createDataFrame(rows, schema)
     got = points_to(
