@@ -21,13 +21,16 @@ from .tokenise import groups, tokeniser, worker_cache
 
 
 def token_bytes(path: str) -> np.ndarray:
-    """Bytes of each id's token; byte-level vocabularies spell a byte as one character."""
+    """Bytes of each id's token; byte-level vocabularies spell a byte as one character, added tokens stand as they are."""
 
     def make() -> np.ndarray:
-        words = tokeniser(path).lib.get_vocab(with_added_tokens=False)
-        out = np.zeros(max(words.values()) + 1, np.int64)
+        lib = tokeniser(path).lib
+        words, added = lib.get_vocab(with_added_tokens=False), lib.get_added_tokens_decoder()
+        out = np.zeros(max([*words.values(), *added]) + 1, np.int64)
         for w, i in words.items():
             out[i] = len(w)
+        for i, token in added.items():
+            out[i] = len(token.content.encode())
         return out
 
     return worker_cache(("bytes", path), make)

@@ -4,7 +4,7 @@ A text is cut into words by the vocabulary's own pattern; a word's ids depend on
 the word alone. So words are hashed with array operations and their ids taken
 from a table of the words seen so far; only unseen words go through the
 tokenizer library. Texts that hold an apostrophe before one of the pattern's
-suffix letters go through the library whole.
+suffix letters, or the content of an added token, go through the library whole.
 
 The table is a cache of bounded size and is emptied when full. Two of its words
 would have to share a 64-bit hash and a length for a wrong id.
@@ -118,9 +118,9 @@ class Tokeniser:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
         self.lib.no_truncation()
         self.model = self.lib.model
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in byte-level vocabularies
         rest = [b for b in range(256) if b not in plain]
         self.letters = {b: 256 + i for i, b in enumerate(rest)}
@@ -175,8 +175,9 @@ class Tokeniser:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts joined, and how many each has."""
         joined = "".join(texts)
-        if "'" in joined and len(texts) > 1:
-            odd = [self.contracted(x) for x in texts]
+        doubtful = "'" in joined or self.special(joined)
+        if doubtful and len(texts) > 1:
+            odd = [self.contracted(x) or self.special(x) for x in texts]
             if any(odd):
                 plain_ids, plain_n = self.encode([x for x, o in zip(texts, odd) if not o]) if not all(odd) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
                 counts, parts, at, k = np.zeros(len(texts), np.int64), [], 0, 0
@@ -188,7 +189,7 @@ class Tokeniser:
                         at, k = at + plain_n[k], k + 1
                     counts[i] = len(parts[-1])
                 return np.concatenate(parts), counts
-        elif "'" in joined and self.contracted(joined):
+        elif doubtful and (self.contracted(joined) or self.special(joined)):
             ids = self.whole(joined)
             return ids, np.array([len(ids)])
         counts = np.zeros(len(texts), np.int64)
@@ -227,6 +228,9 @@ class Tokeniser:
 
         return re.search(r"'(?:[stmd]|re|ve|ll)", text) is not None
 
+    def special(self, text: str) -> bool:
+        return any(x in text for x in self.added)
+
     def whole(self, text: str) -> np.ndarray:
         """By the library alone; long texts with the pattern's suffixes are rare, copies of them are kept."""
         got = self.recent.get(text)

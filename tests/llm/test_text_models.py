@@ -35,6 +35,18 @@ def test_ids_equal_the_library(coder):
         assert ids[a:b].tolist() == coder.lib.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_those_of_a_fresh_library(coder):
+    from tokenizers import Tokenizer
+
+    fresh, texts = Tokenizer.from_file(PATH), ["a<|endoftext|>b", "plain", "it's<|endoftext|>", "<|endoftext", "|>", "<|endoftext|>"]
+    for batch in (texts, *([x] for x in texts)):
+        ids, counts = coder.encode(batch)
+        assert ids.tolist() == [i for x in batch for i in fresh.encode(x, add_special_tokens=False).ids]
+        assert counts.tolist() == [len(fresh.encode(x, add_special_tokens=False).ids) for x in batch]
+    assert coder.encode(["a<|endoftext|>b"])[0].tolist() == [64, 50256, 65]
+    assert token_counts.token_bytes(PATH)[[64, 50256, 65]].tolist() == [1, 13, 1]
+
+
 def test_table_is_emptied_when_full(coder, monkeypatch):
     from strandline.llm import tokenise
 
