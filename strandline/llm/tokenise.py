@@ -201,6 +201,13 @@ class Tokeniser:
         starts = word_starts(cp, begins[lengths > 0])
         ends = np.append(starts[1:], len(cp))
         keys = segment_hashes(cp, starts)
+        ids, n = self.looked_up(joined, keys, starts, ends)
+        offset = np.cumsum(n) - n
+        upto = np.append(offset, len(ids))[np.searchsorted(starts, np.append(begins, len(cp)))]
+        return ids, np.diff(upto)
+
+    def looked_up(self, joined: str, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words joined, and how many each has. More words than the table holds are taken in halves."""
         found = self.find(keys)
         if (missing := np.flatnonzero(found < 0)).size:
             new, first = np.unique(keys[missing], return_index=True)
@@ -209,7 +216,9 @@ class Tokeniser:
                 new, first = np.unique(keys, return_index=True)
                 missing = np.arange(len(keys))
             if len(new) > TABLE_WORDS:
-                raise ValueError("a group of texts has more words than the table holds")
+                half = len(keys) // 2
+                parts = [self.looked_up(joined, keys[x], starts[x], ends[x]) for x in (slice(0, half), slice(half, None))]
+                return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
             at = missing[first]
             words = [joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())]
             spell, letters = self.model.tokenize, self.letters
@@ -218,9 +227,7 @@ class Tokeniser:
         n = self.n[found].astype(np.int64)
         offset = np.cumsum(n) - n
         total = int(n.sum())
-        ids = self.pool[np.arange(total) + np.repeat(self.at[found] - offset, n)]
-        upto = np.append(offset, total)[np.searchsorted(starts, np.append(begins, len(cp)))]
-        return ids, np.diff(upto)
+        return self.pool[np.arange(total) + np.repeat(self.at[found] - offset, n)], n
 
     @staticmethod
     def contracted(text: str) -> bool:

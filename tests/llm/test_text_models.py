@@ -58,6 +58,17 @@ def test_table_is_emptied_when_full(coder, monkeypatch):
     assert small.words <= 64
 
 
+def test_a_text_may_have_more_words_than_the_table(monkeypatch):
+    from strandline.llm import tokenise
+
+    monkeypatch.setattr(tokenise, "TABLE_WORDS", 64)
+    small = Tokeniser(PATH)
+    texts = ["first", " ".join(f"w{i}x" for i in range(500)), "last w3x"]
+    ids, counts = small.encode(texts)
+    whole = [small.lib.encode(x, add_special_tokens=False).ids for x in texts]
+    assert ids.tolist() == [i for x in whole for i in x] and counts.tolist() == [len(x) for x in whole]
+
+
 def test_groups_cover_all():
     texts = ["abc"] * 7
     assert [x for g in groups(texts, 6) for x in texts[g]] == texts
