@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strandline.functions.lineage import cut
 from strandline.functions.signatures import array_sig, field_prefix, line_sig, lock_sig, object_sig
 
 #: What keeps an instruction that follows a catch block (fixed values).
@@ -64,13 +65,18 @@ def runnables(inst: DataFrame) -> DataFrame:
     return init.select("node_id", F.col("uses")[0].alias("thread"), F.col("uses")[1].alias("runnable"))
 
 
-def resolve_definition(values: DataFrame, def_use: DataFrame, hops: int = 8) -> DataFrame:
-    """node_id, value, origin: what a value was copied from, back over so many assignments (node_id, to, from)."""
-    at = values.select("node_id", "value", F.col("value").alias("origin"))
-    step = def_use.select("node_id", F.col("to").alias("origin"), F.col("from").alias("_from"))
-    for _ in range(hops):
-        at = at.join(step, ["node_id", "origin"], "left").select("node_id", "value", F.coalesce("_from", "origin").alias("origin"))
-    return at.distinct()
+def resolve_definition(values: DataFrame, def_use: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """node_id, value, origin: what a value was copied from in the end, back over all assignments (node_id, to, from)."""
+    step = def_use.select("node_id", F.col("to").alias("origin"), F.col("from").alias("_from")).distinct()
+    known = cut(values.select("node_id", "value", F.col("value").alias("origin")).distinct())
+    fresh = known
+    for _ in range(most_rounds):
+        back = fresh.join(step, ["node_id", "origin"]).select("node_id", "value", F.col("_from").alias("origin")).distinct()
+        fresh = cut(back.join(known, ["node_id", "value", "origin"], "left_anti"))
+        if fresh.isEmpty():
+            return known.join(step, ["node_id", "origin"], "left_anti").select("node_id", "value", "origin")
+        known = cut(known.unionByName(fresh))
+    raise RuntimeError("the definitions didn't settle")
 
 
 def field_accesses(inst: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -129,10 +135,26 @@ def call_events(inst: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.select(F.col("caller").alias("node_id"), "iindex", F.col("callee").alias("target")).join(plain, ["node_id", "iindex"]).select("node_id", place(1).alias("pos"), "target").distinct()
 
 
-def thread_events(inst: DataFrame, entries: DataFrame, points_to: DataFrame) -> DataFrame:
-    """node_id, pos, kind START | JOIN, target, in_loop: the receiver's types name the entry."""
+def thread_bodies(inst: DataFrame, entries: DataFrame, points_to: DataFrame, def_use: DataFrame | None = None) -> DataFrame:
+    """obj_type, obj_id, _entry of thread objects: the entry of the object's own type; for a plain Thread, or a type without one, that of the runnable its constructor was given."""
+    own = points_to.select("obj_type", "obj_id").distinct().join(entries.select(F.col("class").alias("obj_type"), F.col("node_id").alias("_entry")), "obj_type")
+    given = runnables(inst)
+    if def_use is not None:
+        origins = resolve_definition(given.select("node_id", F.col("runnable").alias("value")), def_use).withColumnRenamed("value", "runnable")
+        given = given.unionByName(given.join(origins, ["node_id", "runnable"]).select("node_id", "thread", F.col("origin").alias("runnable"))).distinct()
+    made = given.join(points_to.select("node_id", F.col("value").alias("thread"), "obj_type", "obj_id"), ["node_id", "thread"])
+    body = points_to.select("node_id", F.col("value").alias("runnable"), F.col("obj_type").alias("class")).join(entries.select("class", F.col("node_id").alias("_entry")), "class")
+    passed = made.join(body, ["node_id", "runnable"]).select("obj_type", "obj_id", "_entry").distinct()
+    plain = F.col("obj_type").rlike("^L?java/lang/Thread;?$")
+    key = ["obj_type", "obj_id"]
+    through = passed.join(own.filter(~plain).select(*key), key, "left_anti")
+    return own.join(through.select(*key), key, "left_anti").unionByName(through)
+
+
+def thread_events(inst: DataFrame, entries: DataFrame, points_to: DataFrame, def_use: DataFrame | None = None) -> DataFrame:
+    """node_id, pos, kind START | JOIN, target, in_loop: the receiver's types, or the runnables they were made with, name the entry."""
     at = classified(inst).filter("event in ('START', 'JOIN')").withColumn("value", F.coalesce(F.when(F.col("target").rlike("execute|submit"), F.get("uses", F.lit(1))), F.get("uses", F.lit(0))))
-    seen = at.join(points_to, ["node_id", "value"]).join(entries.select(F.col("class").alias("obj_type"), F.col("node_id").alias("_entry")), "obj_type")
+    seen = at.join(points_to, ["node_id", "value"]).join(thread_bodies(inst, entries, points_to, def_use), ["obj_type", "obj_id"])
     return seen.select("node_id", place(1).alias("pos"), F.col("event").alias("kind"), F.col("_entry").alias("target"), F.coalesce("in_loop", F.lit(False)).alias("in_loop")).distinct()
 
 
@@ -142,8 +164,8 @@ def in_loops(cfg: DataFrame) -> DataFrame:
 
     name = lambda c: F.concat_ws("\x01", "node_id", F.col(c).cast("string"))
     closed = reach(cfg.select(name("block").alias("a"), name("succ").alias("b"))).filter("a = b")
-    cut = F.split("a", "\x01")
-    return closed.select(cut[0].alias("node_id"), cut[1].cast("int").alias("block"))
+    parts = F.split("a", "\x01")
+    return closed.select(parts[0].alias("node_id"), parts[1].cast("int").alias("block"))
 
 
 def subclasses(supertype: DataFrame, roots: list[str]) -> DataFrame:

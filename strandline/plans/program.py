@@ -15,7 +15,7 @@ from strandline.sources.facts import Facts
 
 @dataclass(frozen=True)
 class Program:
-    """inst, nodes, edges and points_to as in operators.traces; entries: class → node_id of its thread body."""
+    """inst, nodes, edges and points_to as in operators.traces; entries: class → node_id of its thread body; def_use: assignments (node_id, to, from), where points_to leaves out copies."""
 
     inst: DataFrame
     nodes: DataFrame
@@ -23,6 +23,7 @@ class Program:
     points_to: DataFrame
     entries: DataFrame
     ignored_variables: tuple[str, ...] = ()
+    def_use: DataFrame | None = None
 
 
 def call_steps(calls: DataFrame, events: DataFrame, monitors: DataFrame) -> DataFrame:
@@ -104,7 +105,7 @@ def facts_of(program: Program, main: str) -> Facts:
     touched = fields.unionByName(traces.array_events(inst, program.nodes, program.points_to))
     monitors = traces.monitor_events(inst, program.points_to).unionByName(traces.synchronized_calls(inst, program.edges, program.nodes, program.points_to))
     calls = traces.call_events(inst, program.edges)
-    events = traces.thread_events(inst, program.entries, program.points_to)
+    events = traces.thread_events(inst, program.entries, program.points_to, program.def_use)
     forest, placed = thread_forest(program, main, call_steps(calls, events, monitors), events)
     place = F.concat("at", "pos").alias("pos")
     name = lambda *c: F.concat_ws("@", "tid", "node_id", F.array_join(F.concat("at", "pos").cast("array<string>"), "."), *c).alias("idx")

@@ -69,6 +69,24 @@ def test_calls_through_a_cycle_settle(spark):
     assert racing(spark, calls, edges, *more) == set()
 
 
+def test_a_thread_runs_the_runnable_it_was_given(spark):
+    """new Thread(r).start(), r copied ten times before; main and r's class R write one variable."""
+    put = {"declaring": "E", "field": "a", "is_static": True, "uses": [], "def": -1}
+    code = inst(
+        spark,
+        ("main", 0, "INVOKE", {"target": "java/lang/Thread.<init>(Ljava/lang/Runnable;)V", "uses": [2, 30]}),
+        ("main", 1, "INVOKE", {"target": "java/lang/Thread.start()V", "uses": [2]}), ("main", 2, "PUT", put), ("run", 0, "PUT", put),
+    )
+    who = nodes(spark, {"node_id": "main", "class": "main"}, {"node_id": "run", "class": "run"})
+    targets = spark.createDataFrame([("main", 2, "java/lang/Thread", "1"), ("main", 20, "R", "2")], "node_id string, value int, obj_type string, obj_id string")
+    copies = spark.createDataFrame([("main", i + 1, i) for i in range(20, 30)], "node_id string, to int, from int")
+    none = spark.createDataFrame([], "caller string, iindex int, callee string")
+    program = Program(code, who, none, targets, spark.createDataFrame([("R", "run")], "class string, node_id string"), def_use=copies)
+    facts = facts_of(program, "main")
+    assert sorted((r.tid, r.s) for r in facts.threads.collect()) == [("main", []), ("main/run", [1, 1])]
+    assert {r.sig for r in detect.detect_races(facts).collect()} == {"E.a"}
+
+
 def test_inclusion_constraints(spark):
     t = lambda rows, schema: spark.createDataFrame(rows, schema)
     got = points_to(
