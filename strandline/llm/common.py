@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,6 +96,17 @@ def mark_members(df: DataFrame, key: Column, members: DataFrame, member_key: Col
     return slots.join(F.broadcast(marks), "_bucket", "left").withColumn("_maybe", maybe).drop("_slot", "_bucket", "_bits")
 
 
+def collected_bits(slots: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap, bit i % 8 of byte i // 8, of the values of a column `slot` below `bits`, a power of two: bits / 8 bytes on the driver, whatever the rows."""
+    at = slots.select((F.col("slot") + 1).alias("_slot"))
+    rows = at.groupBy(F.bitmap_bucket_number("_slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("part")).collect()
+    out = np.zeros(max(bits // 8, 4096), np.uint8)
+    for r in rows:
+        part = np.frombuffer(bytes(r.part), np.uint8)
+        out[4096 * (r.bucket - 1) : 4096 * (r.bucket - 1) + len(part)] = part
+    return out[: bits // 8]
+
+
 def possible_members(df: DataFrame, key: Column, members: DataFrame, member_key: Column, bits: int = FILTER_BITS) -> DataFrame:
     """The rows of df whose key may be among members: a bitmap of fixed size, so false hits occur, misses don't.
 

@@ -4,20 +4,24 @@ A document is the set of its word shingles. In one order of all shingles, two
 sets that reach the similarity share a shingle among their first ones (their
 prefixes), so only documents that meet there are candidates:
 
-1. Equal sets become one node; nodes with identical prefixes and size become one
-   group, and groups alone are listed under their prefix's shingles.
-2. Shingles are ordered by hash. Where more groups meet at a shingle than
-   CROWD, it is put at the end of the order, with all others that are as
-   frequent among the documents concerned, and those documents are listed
-   again. Documents that consist mainly of crowded shingles meet at those.
+1. Texts are read once: sets are written as packed hashes. Equal sets become one
+   node, named by its first row; nodes with identical prefixes and size become
+   one group, and groups alone are listed under their prefix's shingles.
+2. Shingles are ordered by hash. Where more groups meet at a shingle than CROWD,
+   it is crowded. Documents with a crowded shingle in their prefix are listed a
+   second time, in an order that has last what is crowded or frequent among them.
+   Where more than CROWD meet even then, they form a crowd.
 3. Group pairs are filtered by size, expanded to their members, and filtered by
    a bitmap of each set's parities, a lower bound on the difference.
-4. What is left falls into candidate clusters. Each set travels to its cluster
-   once, in blocks when the cluster is large, and is verified exactly there;
-   a block returns a spanning forest of its links, not all of them.
-
-No link is lost: every step before the last drops only pairs that can't reach
-the similarity. Shingles are compared by 64-bit hashes.
+4. Verification is exact, on the sets themselves. First each node meets its
+   smallest candidate, and each member of a crowd the crowd's representative.
+   What these links join needs no more comparing: of the other candidate pairs,
+   and of the crowds, only what lies across components is verified, crowds in
+   blocks of bounded size. No crowd's pairs are ever listed.
+
+No link between components is lost: every step before verification drops only
+pairs that can't reach the similarity. Shingles are compared by 64-bit hashes,
+sets told apart by 128-bit ones.
 """
 
 from __future__ import annotations
@@ -30,22 +34,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shared, join_counted, map_batches, possible_members, without, written
+from .common import Shared, collected_bits, join_counted, map_batches, possible_members, without, written
 from .components import components
 from .shingles import SIZE, shingle_sets
 from .tokenise import groups as slices
-from .tokenise import mix
 
-#: More groups than this at one shingle are too many to pair.
+#: More groups than this at one shingle are a crowd.
 CROWD = 32
-#: Crowded shingles that are broadcast at most (8 bytes each); beyond it CROWD is raised.
-MAX_CROWDED = 1 << 20
-#: Postings of a mapper's flush, and of a reducing task on average; buckets a reducing task.
-FLUSH, TASK_POSTINGS, BUCKETS = 1 << 19, 1 << 21, 8
+#: Bits that mark crowded shingles: 8 MB at any input size. Further ones make the order less apt, not wrong.
+MARK_BITS = 1 << 26
+#: Postings of a mapper's flush, and of a reducing task on average; buckets a reducing task; pairs made at once.
+FLUSH, TASK_POSTINGS, BUCKETS, PAIRS = 1 << 19, 1 << 21, 8, 1 << 18
 #: Bytes of a shingle's key and of a group in a posting.
 KEY, GROUP = 5, 6
-#: Sets of a block in a candidate cluster.
-BLOCK = 400
+#: Sets of a crowd's block, and the bytes of its shingles on average.
+BLOCK, BLOCK_BYTES = 256, 1 << 22
+#: Sets that one replica of a representative is compared with.
+SPOKES = 256
 #: Similarity as a fraction: 75 / 100.
 NUM, DEN = 3, 4
 
@@ -71,11 +76,6 @@ def widen(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def group_key(value: int) -> int:
-    """48 bits of a 64-bit hash; members of groups that share them become candidates too."""
-    return value & ((1 << 48) - 1)
-
-
 #: Sizes travel as 16-bit logarithms; a step of 1 more than the similarity allows covers their rounding.
 SIZE_STEPS = 1024
 SIZE_REACH = int(np.ceil(np.log2(DEN / NUM) * SIZE_STEPS)) + 1
@@ -93,201 +93,312 @@ def in_sorted(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-def prefix(shingles: np.ndarray, crowded: np.ndarray) -> np.ndarray:
-    """The first shingles in the order: by hash, the crowded ones last."""
+class Marks:
+    """A set of shingle keys as a bitmap of fixed size: it may hold more than was put in, never less."""
+
+    def __init__(self, bits: np.ndarray | None = None):
+        self.bits = bits
+
+    def has(self, shingles: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            return np.zeros(len(shingles), bool)
+        slot = (keys(shingles) & np.uint64(8 * len(self.bits) - 1)).astype(np.int64)
+        return (self.bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+NONE = Marks()
+
+
+def marks(shingles: DataFrame, bits: int = MARK_BITS) -> Marks:
+    """Of a column `shingle` of keys."""
+    return Marks(collected_bits(shingles.select((F.col("shingle").bitwiseAND(bits - 1)).alias("slot")), bits))
+
+
+def prefix(shingles: np.ndarray, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles in the order, by hash: those not put last, and those that are."""
     p = prefix_length(len(shingles))
-    if not len(crowded):
-        return shingles[:p]
-    last = in_sorted(keys(shingles), crowded)
+    if last is None:
+        return shingles[:p], shingles[:0]
     free = shingles[~last][:p]
-    return free if len(free) == p else np.concatenate([free, shingles[last][: p - len(free)]])
+    return free, shingles[last][: p - len(free)]
 
 
-def digest(shingles: np.ndarray, salt: int) -> int:
-    """A signed 64-bit hash of a set given in order."""
+def digest(shingles: np.ndarray, salt: int) -> bytes:
+    """128 bits of a set given in order."""
     import hashlib
 
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8, key=salt.to_bytes(2, "little")).digest(), "little", signed=True)
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16, key=salt.to_bytes(2, "little")).digest()
+
+
+def short(of: bytes) -> int:
+    """48 bits of a digest; groups or nodes that share them become candidates too."""
+    return int.from_bytes(of[:GROUP], "little")
 
 
-def parities(shingles: np.ndarray) -> bytes:
-    """A bitmap of at least four bits a shingle, a power of two: each bit the parity of its shingles."""
-    bits = max(64, 1 << (4 * len(shingles) - 1).bit_length())
+def parities(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap of a power of two bits, each the parity of its shingles."""
     odd = np.bincount(((shingles >> np.uint64(7)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    return np.packbits(odd.astype(np.uint8))
 
 
-def fold(bitmap: bytes, size: int) -> np.ndarray:
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Parities in at least four bits a shingle."""
+    return parities(shingles, max(64, 1 << (4 * len(shingles) - 1).bit_length())).tobytes()
+
+
+def fold(bits: bytes, size: int) -> np.ndarray:
     """The bitmap at a smaller size, as 64-bit words: slots are taken modulo the size."""
-    x = np.frombuffer(bitmap, np.uint64)
+    x = np.frombuffer(bits, np.uint64)
     while len(x) * 8 > size:
         x = x[: len(x) // 2] ^ x[len(x) // 2 :]
     return x
 
 
-def sizes_fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return DEN * np.minimum(a, b) >= NUM * np.maximum(a, b)
-
-
 def difference_fits(difference, a, b):
     """Whether sets of sizes a and b with so many elements in one alone reach the similarity."""
     return DEN * (a + b - difference) >= NUM * (a + b + difference)
 
 
-def describe(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, node (hash of the set), gid (hash of its prefix and size), bitmap; n 0 and nulls for an empty set."""
-    out = T.StructType([docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("gid", T.LongType()), T.StructField("bitmap", T.BinaryType())])
-    none = np.zeros(0, np.uint64)
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets, given in order, reach the similarity."""
+    if len(a) > len(b):
+        a, b = b, a
+    if DEN * len(a) < NUM * len(b):
+        return False
+    common = int(in_sorted(a, b).sum())
+    return DEN * common >= NUM * (len(a) + len(b) - common)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            rows = []
-            for part in slices([x or "" for x in texts]):
-                for s in shingle_sets(texts[part], size):
-                    n = len(s)
-                    rows.append((n, digest(s, 1), group_key(digest(np.append(prefix(s, none), np.uint64(n)), 2)), parities(s)) if n else (0, None, None, None))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]], out.names)
 
-    return map_batches(docs.select("doc_id", "text"), run, out)
+def describe(docs: DataFrame, size: int) -> DataFrame:
+    """row, doc_id, n, digest (of the set), key (its 48 bits), gid (48 bits of prefix and size), bitmap, shingles; n 0 and nulls for an empty set."""
+    kinds = {"n": (T.LongType(), pa.int64()), "digest": (T.BinaryType(), pa.binary()), "key": (T.LongType(), pa.int64()), "gid": (T.LongType(), pa.int64()), "bitmap": (T.BinaryType(), pa.binary()), "shingles": (T.BinaryType(), pa.binary())}
+    out = T.StructType([T.StructField("row", T.LongType()), docs.schema["doc_id"], *[T.StructField(c, t) for c, (t, _) in kinds.items()]])
 
+    def one(s: np.ndarray) -> tuple:
+        n = len(s)
+        if not n:
+            return 0, None, None, None, None, None
+        own = digest(s, 1)
+        return n, own, short(own), short(digest(np.append(prefix(s)[0], np.uint64(n)), 2)), bitmap(s), s.tobytes()
 
-class Order:
-    """The shingles' order in a round, and which documents take part.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x or "" for x in batch.column(2).to_pylist()]
+            for part in slices(texts):
+                rows = [one(s) for s in shingle_sets(texts[part], size)]
+                same = batch.slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays([same.column(0), same.column(1), *[pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds.values())]], out.names)
 
-    asked: (crowded so far, newly crowded) of each earlier listing; a document
-    takes part if each time its prefix held one of the new ones. crowded: those
-    that are last now.
-    """
+    return map_batches(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), run, out)
 
-    def __init__(self, asked: list[tuple[np.ndarray, np.ndarray]] | None = None, crowded: np.ndarray | None = None):
-        self.asked, self.crowded = asked or [], np.zeros(0, np.uint64) if crowded is None else crowded
 
-    def takes(self, shingles: np.ndarray) -> bool:
-        """Sets of less than three link only with equal ones."""
-        return len(shingles) >= DEN - 1 and all(in_sorted(keys(prefix(shingles, before)), new).any() for before, new in self.asked)
+#: Kinds of a mapper's rows: postings, crowded shingles (t), members of crowds (t, g).
+LISTED, HOT, LAST = 0, 1, 2
 
 
-def packed(bucket: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    """A row for each bucket with its part of every column as bytes."""
+def packed(kind: int, bucket: np.ndarray, columns: list[np.ndarray | None]) -> pa.RecordBatch:
+    """A row for each bucket with its part of every column (t, g, s) as bytes."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
-    begins = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    begins = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, int)
     ends = np.append(begins[1:], len(bucket))
-    out = [pa.array(bucket[begins], pa.int64())]
+    out = [pa.array(bucket[begins], pa.int64()), pa.array(np.full(len(begins), kind), pa.int32())]
     for x in columns:
+        if x is None:
+            out.append(pa.nulls(len(begins), pa.binary()))
+            continue
         x = x[order]
         out.append(pa.array([x[i:j].tobytes() for i, j in zip(begins.tolist(), ends.tolist())], pa.binary()))
-    return pa.RecordBatch.from_arrays(out, ["bucket", *names])
+    return pa.RecordBatch.from_arrays(out, ["bucket", "kind", "t", "g", "s"])
 
 
-def postings(docs: DataFrame, size: int, order: Order, buckets: int, whole: bool = False) -> DataFrame:
-    """bucket, and as packed arrays: shingle t, group g, size s of the prefixes; with whole all shingles, t alone.
+def postings(sets: DataFrame, buckets: int, crowd: int, asked: Marks = NONE, last: Marks = NONE) -> DataFrame:
+    """bucket, kind, and as packed arrays: shingle t, group g, size s of the prefixes.
 
-    In the first round groups share prefix and size; later nodes stand for themselves.
+    First listing: groups share prefix and size. Second one: nodes stand for
+    themselves, and only those take part whose first prefix holds a shingle of
+    asked. A shingle that a flush alone has often enough is reported, not listed.
+    Sets of less than three link only with equal ones.
     """
-    shared = Shared(docs.sparkSession, order)
+    shared = Shared(sets.sparkSession, (asked, last))
+    often = max(2, crowd // 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = shared.value
+        asked, last = shared.value
+        again = asked.bits is not None
         held: list[tuple] = []
+        ends: list[tuple] = []
         seen: set[int] = set()
         count = 0
 
-        def flush() -> pa.RecordBatch:
-            t = np.concatenate([h[0] for h in held])
-            bucket = (t % np.uint64(buckets)).astype(np.int64)
-            if whole:
-                return packed(bucket, [narrow(t, KEY)], ["t"])
-            n = np.array([len(h[0]) for h in held])
-            g, s = np.repeat(np.array([h[1] for h in held], np.uint64), n), np.repeat(np.array([h[2] for h in held], np.uint16), n)
-            return packed(bucket, [narrow(t, KEY), narrow(g, GROUP), s], ["t", "g", "s"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                t = np.concatenate([h[0] for h in held])
+                n = np.array([len(h[0]) for h in held])
+                g, s = np.repeat(np.array([h[1] for h in held], np.uint64), n), np.repeat(np.array([h[2] for h in held], np.uint16), n)
+                if not again:
+                    found, k = np.unique(t, return_counts=True)
+                    hot = found[k > often]
+                    if len(hot):
+                        yield packed(HOT, (hot % np.uint64(buckets)).astype(np.int64), [narrow(hot, KEY), None, None])
+                        rest = ~in_sorted(t, hot)
+                        t, g, s = t[rest], g[rest], s[rest]
+                yield packed(LISTED, (t % np.uint64(buckets)).astype(np.int64), [narrow(t, KEY), narrow(g, GROUP), s])
+            if ends:
+                t, n = np.concatenate([h[0] for h in ends]), np.array([len(h[0]) for h in ends])
+                g = np.repeat(np.array([h[1] for h in ends], np.uint64), n)
+                # Members are only passed on, so they are spread by node, not by shingle.
+                yield packed(LAST, (g % np.uint64(buckets)).astype(np.int64), [narrow(t, KEY), narrow(g, GROUP), None])
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for part in slices([x or "" for x in texts]):
-                for x in shingle_sets(texts[part], size):
-                    if not now.takes(x):
+            for key, gid, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                x = np.frombuffer(data, np.uint64)
+                if again:
+                    if key in seen or not asked.has(prefix(x)[0]).any():
                         continue
-                    p = x if whole else prefix(x, now.crowded)
-                    gid = group_key(digest(x, 1) if whole or now.asked else digest(np.append(p, np.uint64(len(x))), 2))
-                    if gid not in seen:
-                        seen.add(gid)
-                        held.append((keys(p), gid, size_code(len(x))))
-                        count += len(p)
+                    gid = key
+                    free, crowded = prefix(x, last.has(x))
+                else:
+                    if gid in seen:
+                        continue
+                    free, crowded = prefix(x)
+                seen.add(gid)
+                if len(free):
+                    held.append((keys(free), gid, size_code(len(x))))
+                if len(crowded):
+                    ends.append((keys(crowded), gid))
+                count += len(free) + len(crowded)
                 if count >= FLUSH:
-                    yield flush()
-                    held, count = [], 0
+                    yield from flush()
+                    held, ends, count = [], [], 0
                     seen.clear()
-        if held:
-            yield flush()
+        yield from flush()
 
-    return map_batches(docs.select("text"), run, "bucket long, t binary" + ("" if whole else ", g binary, s binary"))
+    return map_batches(sets.filter(F.col("n") >= DEN - 1).select("key", "gid", "shingles"), run, "bucket long, kind int, t binary, g binary, s binary")
 
 
-def frequent(listed: DataFrame, tasks: int, least: int) -> DataFrame:
-    """(shingle, n) of the shingles that are listed more than `least` times."""
+def whole_counts(sets: DataFrame, buckets: int, asked: Marks) -> DataFrame:
+    """bucket, and packed: shingles t of the whole sets that take part in the second listing; a flush's repeated ones u once, with their counts c."""
+    shared = Shared(sets.sparkSession, asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[bytes]] = {}
+        asked = shared.value
+        held: list[np.ndarray] = []
+        seen: set[int] = set()
+        count = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                t, n = np.unique(np.concatenate(held), return_counts=True)
+                for kind, some in ((LISTED, n == 1), (HOT, n > 1)):
+                    x = t[some]
+                    yield packed(kind, (x % np.uint64(buckets)).astype(np.int64), [narrow(x, KEY), n[some].astype("<u4") if kind == HOT else None, None])
+
         for batch in batches:
-            for b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts.setdefault(b, []).append(t)
-        for b in list(parts):
-            t, n = np.unique(widen(b"".join(parts.pop(b)), KEY), return_counts=True)
-            t, n = t[n > least], n[n > least]
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(data, np.uint64)
+                if key not in seen and asked.has(prefix(x)[0]).any():
+                    seen.add(key)
+                    held.append(keys(x))
+                    count += len(x)
+                    if count >= FLUSH:
+                        yield from flush()
+                        held, count = [], 0
+                        seen.clear()
+        yield from flush()
+
+    return map_batches(sets.filter(F.col("n") >= DEN - 1).select("key", "shingles"), run, "bucket long, kind int, t binary, g binary, s binary")
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows (kind, t, g, s) of one bucket after the other, from batches sorted by bucket."""
+    now, rows = None, []
+    for batch in batches:
+        for b, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if b != now:
+                if rows:
+                    yield now, rows
+                now, rows = b, []
+            rows.append(tuple(row))
+    if rows:
+        yield now, rows
+
+
+def dealt(listed: DataFrame, tasks: int) -> DataFrame:
+    return listed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+
+
+def frequent(listed: DataFrame, tasks: int, least: int) -> DataFrame:
+    """(shingle) of the shingles that are counted more than `least` times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_bucket(batches):
+            once = widen(b"".join(r[1] for r in rows if r[0] == LISTED), KEY)
+            often = widen(b"".join(r[1] for r in rows if r[0] == HOT), KEY)
+            n = np.concatenate([np.ones(len(once), np.int64), np.frombuffer(b"".join(r[2] for r in rows if r[0] == HOT), "<u4").astype(np.int64)])
+            t, at = np.unique(np.concatenate([once, often]), return_inverse=True)
+            t = t[np.bincount(at, n, len(t)) > least]
             if len(t):
-                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64), pa.int64()), pa.array(n, pa.int64())], ["shingle", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64), pa.int64())], ["shingle"])
 
-    return map_batches(listed.repartition(tasks, "bucket"), run, "shingle long, n long")
+    return map_batches(dealt(listed, tasks), run, "shingle long")
 
 
-#: What meets at shingles: PAIR (a, b: groups), CROWDED (a: shingle, b: number of groups), MEMBER (a: shingle, b: group; of a crowded one that is last).
+#: What meets at shingles: PAIR (a, b: groups), CROWDED (a: shingle), MEMBER (a: shingle, b: group).
 PAIR, CROWDED, MEMBER = 0, 1, 2
+#: Shingles and groups as names of crowds: moved apart from each other.
+MEETING = 1 << 48
 
 
-#: Shingles and groups as vertices beside nodes: moved apart from each other.
-MEETING = 1 << 48
+def meetings(listed: DataFrame, tasks: int, crowd: int, second: bool) -> DataFrame:
+    """kind, a, b. What the second listing's shingles have more than crowd of is a crowd, like what was put last."""
 
+    def rows_of(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), pa.array(a.view(np.int64), pa.int64()), pa.array(b.view(np.int64), pa.int64())], ["kind", "a", "b"])
 
-def meetings(listed: DataFrame, tasks: int, crowded: np.ndarray, crowd: int) -> DataFrame:
-    shared = Shared(listed.sparkSession, crowded)
+    def pairs(t_begins: np.ndarray, m: np.ndarray, g: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in np.unique(m).tolist():
+            i, j = np.triu_indices(k, 1)
+            begins = t_begins[m == k]
+            step = max(1, PAIRS // len(i))
+            for at in range(0, len(begins), step):
+                members = begins[at : at + step, None] + np.arange(k)
+                a, b = members[:, i].ravel(), members[:, j].ravel()
+                fit = np.abs(s[a] - s[b]) <= SIZE_REACH
+                a, b = g[a[fit]], g[b[fit]]
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
+                yield rows_of(PAIR, a[fresh], b[fresh])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
-        for batch in batches:
-            for b, *xs in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                parts.setdefault(b, []).append(xs)
-        last = shared.value
-        for b in list(parts):
-            rows = parts.pop(b)
-            t, g = (widen(b"".join(r[i] for r in rows), width) for i, width in enumerate((KEY, GROUP)))
-            g, s = g.view(np.int64), np.frombuffer(b"".join(r[2] for r in rows), np.uint16).astype(np.int32)
-            order = np.lexsort((g, t))
+        for _, rows in by_bucket(batches):
+            for kind, t, g, _ in rows:
+                if kind == HOT:
+                    t = widen(t, KEY)
+                    yield rows_of(CROWDED, t, t)
+                elif kind == LAST:
+                    yield rows_of(MEMBER, widen(t, KEY), widen(g, GROUP))
+            rows = [r for r in rows if r[0] == LISTED]
+            t, g = widen(b"".join(r[1] for r in rows), KEY), widen(b"".join(r[2] for r in rows), GROUP)
+            s = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).astype(np.int32)
+            if not len(t):
+                continue
+            order = np.lexsort((s, g, t))
             t, g, s = t[order], g[order], s[order]
-            keep = np.append(True, (t[1:] != t[:-1]) | (g[1:] != g[:-1]))
+            keep = np.append(True, (t[1:] != t[:-1]) | (g[1:] != g[:-1]) | (s[1:] != s[:-1]))
             t, g, s = t[keep], g[keep], s[keep]
-            begins = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, int)
+            begins = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
             m = np.diff(np.append(begins, len(t)))
-            out = []
-            for k in np.unique(m[(m >= 2) & (m <= crowd)]).tolist():
-                at = begins[m == k][:, None] + np.arange(k)
-                i, j = np.triu_indices(k, 1)
-                a, b2 = at[:, i].ravel(), at[:, j].ravel()
-                fit = np.abs(s[a] - s[b2]) <= SIZE_REACH
-                out.append(np.stack([g[a[fit]], g[b2[fit]]]))
-            if out:
-                pairs = np.unique(np.concatenate(out, axis=1), axis=1) if sum(x.shape[1] for x in out) else np.zeros((2, 0), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(pairs.shape[1], PAIR), pa.int32()), pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["kind", "a", "b"])
-            big = np.flatnonzero(m > crowd)
-            if len(big):
-                known = in_sorted(t[begins[big]], last)
-                new = big[~known]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), CROWDED), pa.int32()), pa.array(t[begins[new]].view(np.int64), pa.int64()), pa.array(m[new], pa.int64())], ["kind", "a", "b"])
-                for i in big[known]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m[i], MEMBER), pa.int32()), pa.array(np.full(m[i], t[begins[i]]).view(np.int64), pa.int64()), pa.array(g[begins[i] : begins[i] + m[i]], pa.int64())], ["kind", "a", "b"])
-
-    return map_batches(listed.repartition(tasks, "bucket"), run, "kind int, a long, b long")
+            few = (m >= 2) & (m <= crowd)
+            yield from pairs(begins[few], m[few], g, s)
+            many = np.repeat(m > crowd, m)
+            if second:
+                yield rows_of(MEMBER, t[many], g[many])
+            else:
+                yield rows_of(CROWDED, t[begins[m > crowd]], t[begins[m > crowd]])
+
+    return map_batches(dealt(listed, tasks), run, "kind int, a long, b long")
 
 
 def alike(pairs: DataFrame) -> DataFrame:
@@ -306,165 +417,216 @@ def alike(pairs: DataFrame) -> DataFrame:
     return map_batches(pairs.select("a", "na", "ma", "b", "nb", "mb"), run, "a long, b long")
 
 
-def forest(ids: list[int], sets: list[np.ndarray], side: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that span the components of the sets' similarity graph (with sides: of its links between the sides)."""
+def with_sets(units: DataFrame, sets: DataFrame) -> DataFrame:
+    """units with the shingles of their node; sets that no unit has are left out before the shuffle."""
+    needed = possible_members(sets.select("row", "shingles"), F.col("row"), units, F.col("node"))
+    return units.join(needed, units["node"] == needed["row"]).drop("row")
+
+
+def star_links(stars: DataFrame, sets: DataFrame, tasks: int) -> DataFrame:
+    """Of pairs (hub, spoke) those that reach the similarity, as (a, b). A hub's set travels once for SPOKES of its spokes."""
+    sized = stars.groupBy("hub").agg(F.count(F.lit(1)).alias("k"))
+    total = stars.count()
+    replica = F.pmod(F.xxhash64("spoke"), F.ceil(F.col("k") / SPOKES)).cast("int")
+    dealt_out = join_counted(stars, sized, "hub", "k", total).select("hub", "spoke", replica.alias("replica"))
+    hubs = dealt_out.select("hub", "replica").distinct().select("hub", "replica", F.lit(0).alias("side"), F.col("hub").alias("node"))
+    units = written(hubs.unionByName(dealt_out.select("hub", "replica", F.lit(1).alias("side"), F.col("spoke").alias("node"))), "stars")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        center = None
+        for batch in batches:
+            got = []
+            for hub, side, node, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                s = np.frombuffer(data, np.uint64)
+                if side == 0:
+                    center = s
+                elif linked(center, s):
+                    got.append((hub, node))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([x for _, x in got], pa.int64())], ["a", "b"])
+
+    laid = with_sets(units, sets).repartition(tasks, "hub", "replica").sortWithinPartitions("hub", "replica", "side")
+    return map_batches(laid.select("hub", "side", "node", "shingles"), run, "a long, b long")
+
+
+def forest(ids: list[int], sets: list[np.ndarray], sides: list[int], labels: list[int]) -> list[tuple[int, int]]:
+    """Links that, with what the labels join, span the components of the sets' links; sets in rising size.
+
+    With two sides, only links between them are looked for.
+    """
     n = np.array([len(s) for s in sets])
-    least = 1 << 6
-    bits = max(least, 1 << int(2 * n.max() - 1).bit_length())
-    maps = np.zeros((len(sets), bits), np.uint8)
-    for i, s in enumerate(sets):
-        maps[i] = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    maps = np.packbits(maps, axis=1).view(np.uint64)
-    root = np.arange(len(sets))
+    bits = max(64, 1 << int(2 * n.max() - 1).bit_length())
+    maps = np.stack([parities(s, bits).view(np.uint64) for s in sets])
+    side, root = np.array(sides), np.unique(labels, return_inverse=True)[1]
+    split = len(set(sides)) > 1
     links = []
-    # Smaller differences first would need all pairs; by size, each set against those before it.
     for i in range(1, len(sets)):
-        other = np.flatnonzero((root[:i] != root[i]) & sizes_fit(n[:i], n[i]))
-        if side is not None:
-            other = other[np.asarray(side)[other] != side[i]]
+        first = int(np.searchsorted(n, -(-NUM * n[i] // DEN)))
+        apart = root[first:i] != root[i]
+        if split:
+            apart &= side[first:i] != side[i]
+        other = first + np.flatnonzero(apart)
         if not len(other):
             continue
         gap = np.bitwise_count(maps[other] ^ maps[i]).sum(axis=1, dtype=np.int64)
         fits = difference_fits(gap, n[other], n[i])
         other, gap = other[fits], gap[fits]
         for j in other[np.argsort(gap, kind="stable")].tolist():
-            if root[j] == root[i]:
-                continue
-            common = int(in_sorted(sets[i], sets[j]).sum())
-            if DEN * common >= NUM * (int(n[i]) + int(n[j]) - common):
+            if root[j] != root[i] and linked(sets[j], sets[i]):
                 links.append((ids[i], ids[j]))
                 root[root == root[i]] = root[j]
     return links
 
 
-def verify(located: DataFrame) -> DataFrame:
-    """Links (a, b) from rows (unit, side, node, shingles) that lie by unit in partitions sorted by unit."""
+#: Of a crowd's blocks; sets of sizes whose classes differ by more than one don't link.
+SIZE_CLASS = 1.34
+
+
+def crowd_links(crowds: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, tasks: int) -> DataFrame | None:
+    """Links (a, b) across the labels' components within crowds (hub, node); None if no crowd has two components.
+
+    A crowd's largest component isn't compared with itself. Blocks are of one size
+    class, bounded in number and bytes, and compared in pairs of adjacent classes.
+    """
+    labelled = crowds.join(labels.select(F.col("v").alias("node"), "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    labelled = labelled.join(nodes.select("node", "n"), "node").withColumn("class", F.floor(F.log("n") / float(np.log(SIZE_CLASS))).cast("int"))
+    labelled = written(labelled, "crowds")
+    parts = labelled.groupBy("hub", "c").agg(F.count(F.lit(1)).alias("k"))
+    mixed = parts.groupBy("hub").agg(F.count(F.lit(1)).alias("parts"), F.max_by("c", "k").alias("main"), F.sum("k").alias("m")).filter("parts > 1")
+    mixed = written(mixed, "mixed")
+    if mixed.isEmpty():
+        return None
+    at = join_counted(labelled, mixed, "hub", "m", labelled.count()).withColumn("is_main", F.col("c") == F.col("main"))
+    shape = ["hub", "is_main", "class"]
+    counts = at.groupBy(*shape).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles"))
+    counts = counts.withColumn("blocks", F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES)).cast("int"))
+    blocks = counts.select(*shape, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    members = join_counted(at, counts, shape, "k", labelled.count()).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    x = blocks.select("hub", *[F.col(c).alias(f"x_{c}") for c in ("is_main", "class", "block")])
+    y = blocks.select("hub", *[F.col(c).alias(f"y_{c}") for c in ("is_main", "class", "block")])
+    rank = lambda p: F.struct(f"{p}_is_main", f"{p}_class", f"{p}_block")
+    # A block of others with itself and each later block; the main component's blocks with those of others alone.
+    met = x.join(y, "hub").filter((~F.col("x_is_main")) & (F.abs(F.col("x_class") - F.col("y_class")) <= 1) & (rank("x") <= rank("y")))
+    met = met.withColumn("unit", F.xxhash64("hub", *met.columns[1:]))
+    ends = ["is_main", "class", "block"]
+    one = met.select("hub", *[F.col(f"x_{c}").alias(c) for c in ends], "unit", F.lit(0).alias("side"))
+    two = met.filter(rank("x") != rank("y")).select("hub", *[F.col(f"y_{c}").alias(c) for c in ends], "unit", F.lit(1).alias("side"))
+    units = written(one.unionByName(two).join(members.select("hub", *ends, "node", "c"), ["hub", *ends]).select("unit", "hub", "side", "node", "c"), "units")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, rows = None, []
+        now, rows = None, []
 
         def close() -> pa.RecordBatch:
-            rows.sort(key=lambda r: (len(r[2]), r[1]))
-            sides = [r[0] for r in rows]
-            got = forest([r[1] for r in rows], [np.frombuffer(r[2], np.uint64) for r in rows], sides if len(set(sides)) > 1 else None)
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], ["a", "b"])
+            rows.sort(key=lambda r: (len(r[3]), r[1]))
+            got = forest([r[1] for r in rows], [np.frombuffer(r[3], np.uint64) for r in rows], [r[0] for r in rows], [r[2] for r in rows])
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([x for _, x in got], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for u, side, node, s in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if u != unit:
+            for unit, hub, *row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if (unit, hub) != now:
                     if len(rows) > 1:
                         yield close()
-                    unit, rows = u, []
-                rows.append((side, node, s))
+                    now, rows = (unit, hub), []
+                rows.append(tuple(row))
         if len(rows) > 1:
             yield close()
 
-    return map_batches(located, run, "a long, b long")
-
-
-def sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """node, shingles (packed) of documents that have any."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for part in slices([x or "" for x in texts]):
-                got = [x for x in shingle_sets(texts[part], size) if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([digest(x, 1) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())], ["node", "shingles"])
-
-    return map_batches(docs.select("text"), run, "node long, shingles binary")
-
-
-def hashes(rows: DataFrame) -> np.ndarray:
-    """The column shingle, at most MAX_CROWDED rows of it, in order."""
-    return np.sort(np.array([r.shingle for r in rows.select("shingle").collect()], np.int64).view(np.uint64))
+    laid = with_sets(units, sets).repartition(tasks, "unit").sortWithinPartitions("unit", "hub")
+    return map_batches(laid.select("unit", "hub", "side", "node", "c", "shingles"), run, "a long, b long")
+
+
+def candidate_pairs(met: list[DataFrame], nodes: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) of nodes, a < b, whose bitmaps allow the similarity; crowds (token, node)) of the listings."""
+    sized = written(nodes.groupBy("gid").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("one")), "groups")
+    several = nodes.select("gid", "node").join(sized.filter("k > 1").select("gid"), "gid")
+    crowds = several.select((F.col("gid") + 2 * MEETING).alias("token"), "node")
+    first = met[0].filter(f"kind = {PAIR}").select("a", "b").distinct()
+    for side in ("a", "b"):
+        first = first.join(sized.select(F.col("gid").alias(side), F.col("k").alias(f"k_{side}"), F.col("one").alias(f"one_{side}")), side)
+    pairs = first.filter("k_a = 1 and k_b = 1").select(F.col("one_a").alias("x"), F.col("one_b").alias("y"))
+    # A group of several members is a crowd, joined by the members of the smaller groups that meet it.
+    more = first.filter("k_a > 1 or k_b > 1")
+    larger = F.col("k_a") >= F.col("k_b")
+    more = more.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("to"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("gid"))
+    crowds = crowds.unionByName(more.join(nodes.select("gid", "node"), "gid").select((F.col("to") + 2 * MEETING).alias("token"), "node"))
+    for second in met[1:]:
+        named = second.filter(f"kind = {PAIR}").select("a", "b").distinct()
+        for side, name in (("a", "x"), ("b", "y")):
+            named = named.join(nodes.select(F.col("key").alias(side), F.col("node").alias(name)), side)
+        pairs = pairs.unionByName(named.select("x", "y"))
+        members = second.filter(f"kind = {MEMBER}").select((F.col("a") + MEETING).alias("token"), F.col("b").alias("key"))
+        crowds = crowds.unionByName(members.join(nodes.select("key", "node"), "key").select("token", "node"))
+    pairs = pairs.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("row").alias(side), F.col("n").alias(f"n{side}"), F.col("bitmap").alias(f"m{side}")), side)
+    return written(alike(pairs), "pairs"), crowds
+
+
+def hubs_of(crowds: DataFrame) -> DataFrame:
+    """(hub, node) of crowds (token, node): the hub is the token's representative, so tokens with much the same members are one crowd."""
+    listed = written(crowds.distinct(), "tokens")
+    found = listed.groupBy("token").agg(F.min_by("node", F.xxhash64("node")).alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    return written(join_counted(listed, found, "token", "k", listed.count()).select("hub", "node").distinct(), "hubs")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, crowd: int = CROWD) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, node.
+    """One row per document: doc_id, n_shingles, component_id.
 
     component_id is the smallest doc_id that links reach, null ids last. Equal
     sets link (similarity 1), so rows repeated under one id do too. Documents
     without words, null texts among them, have n_shingles 0 and link with
-    nothing: component_id is their own id, node null.
+    nothing: component_id is their own id. An empty table gives no rows; further
+    columns are ignored. Very long texts are sets like others.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    meta = written(describe(docs, size), "sets")
-    nodes = meta.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("leader"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("bitmap").alias("bitmap"), F.count(F.lit(1)).alias("copies"))
+    sets = written(describe(docs, size), "sets")
+    nodes = sets.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("leader"), F.min("n").alias("n"), F.min("gid").alias("gid"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes, "nodes")
     totals = nodes.agg(F.sum("n").alias("shingles"), F.sum("copies").alias("docs")).first()
+    alone = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     if not totals.docs:
-        return meta.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "node")
+        return alone
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-totals.shingles // 4 // TASK_POSTINGS))
-    members = nodes.select("gid", "node")
-    by_key = nodes.select(F.col("node").bitwiseAND((1 << 48) - 1).alias("key"), F.col("node").alias("whole"))
     buckets = tasks * BUCKETS
-    pairs, at_crowded, order = [], [], Order()
-    while True:
-        met = written(meetings(postings(docs, size, order, buckets), tasks, order.crowded, crowd), "meetings")
-        fresh = met.filter(f"kind = {CROWDED}").select(F.col("a").alias("shingle"), F.col("b").alias("n"))
-        if fresh.count() + len(order.crowded) > MAX_CROWDED:
-            crowd *= 4
-            continue
-        pairs.append(met.filter(f"kind = {PAIR}").select("a", "b").distinct())
-        at_crowded.append(met.filter(f"kind = {MEMBER}").select(F.col("a").alias("token"), F.col("b").alias("key")).join(by_key, "key").select(F.col("token") + MEETING, F.col("whole").alias("node")).toDF("token", "node"))
-        new = hashes(fresh)
-        if not len(new):
-            break
-        asked = [*order.asked, (order.crowded, new)]
-        # What else is crowded among the documents concerned, in their whole sets.
-        more = written(frequent(postings(docs, size, Order(asked), buckets, whole=True), tasks, crowd), "frequent")
-        least = crowd
-        while more.filter(f"n > {least}").count() + len(order.crowded) + len(new) > MAX_CROWDED:
-            least *= 4
-        order = Order(asked, np.union1d(np.union1d(order.crowded, new), hashes(more.filter(f"n > {least}"))))
-
-    # Expand groups to their nodes; nodes of one group are candidates too.
-    first, later = pairs[0], pairs[1:]
-    left, right = members.select(F.col("gid").alias("a"), F.col("node").alias("x")), members.select(F.col("gid").alias("b"), F.col("node").alias("y"))
-    expanded = first.join(left, "a").join(right, "b").select("x", "y")
-    group_size = members.groupBy("gid").agg(F.count(F.lit(1)).alias("k"))
-    several = members.join(group_size.filter("k > 1"), "gid")
-    inside = several.select("gid", F.col("node").alias("x")).join(several.filter(f"k <= {crowd}").select("gid", F.col("node").alias("y")), "gid").filter("x < y").select("x", "y")
-    crowds = several.filter(f"k > {crowd}").select((F.col("gid") + 2 * MEETING).alias("token"), "node")
-    for p in later:
-        with_x = p.join(by_key.select(F.col("key").alias("a"), F.col("whole").alias("x")), "a")
-        expanded = expanded.unionByName(with_x.join(by_key.select(F.col("key").alias("b"), F.col("whole").alias("y")), "b").select("x", "y"))
-    every = expanded.unionByName(inside).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    known = nodes.select("node", "n", "bitmap")
-    with_a = every.join(known.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma")), "a")
-    with_both = with_a.join(known.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb")), "b")
-    candidates = alike(with_both)
-    for m in [*at_crowded, crowds]:
-        candidates = candidates.unionByName(m.select(F.col("token").alias("a"), F.col("node").alias("b")))
-    clusters = components(candidates)
-
-    # Sets go to their clusters: once, or once for each pair of blocks.
-    real = clusters.join(nodes.select(F.col("node").alias("v"), "leader", "n"), "v")
-    real = written(real.select(F.col("v").alias("node"), F.col("c").alias("cluster"), "leader"), "clusters")
-    sized = real.groupBy("cluster").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    total = real.count()
-    placed = join_counted(real, sized, "cluster", "k", total)
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    units = placed.select("node", "cluster", "block", other).select("node", F.concat_ws(":", "cluster", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
-    leaders = placed.select("leader", "node")
-    texts = possible_members(docs, F.col("doc_id"), leaders, F.col("leader"))
-    texts = texts.join(leaders.select("leader").distinct(), F.col("doc_id").eqNullSafe(F.col("leader")), "left_semi")
-    sets = written(sets_of(texts, size).dropDuplicates(["node"]), "shingles")
-    located = units.join(sets, "node").select("unit", "side", "node", "shingles").repartition(tasks, "unit").sortWithinPartitions("unit")
-    links = verify(located)
+    met = [written(meetings(postings(sets, buckets, crowd), tasks, crowd, False), "meetings")]
+    hot = met[0].filter(f"kind = {CROWDED}").select(F.col("a").alias("shingle"))
+    if not hot.isEmpty():
+        asked = marks(hot)
+        more = frequent(whole_counts(sets, buckets, asked), tasks, crowd)
+        last = marks(hot.unionByName(more))
+        met.append(written(meetings(postings(sets, buckets, crowd, asked, last), tasks, crowd, True), "meetings"))
+    pairs, crowds = candidate_pairs(met, nodes, sets)
+    hubs = hubs_of(crowds)
+
+    # First each node with its smallest candidate, and each member of a crowd with its hub.
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.min("b").alias("b")).select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("spoke"))
+    stars = near.unionByName(hubs.filter("hub <> node").select("hub", F.col("node").alias("spoke"))).distinct()
+    links = written(star_links(written(stars, "near"), sets, tasks), "links")
     found = components(links)
 
-    same = nodes.join(found.select(F.col("v").alias("node"), "c"), "node", "left").select("node", "leader", "copies", F.coalesce("c", "node").alias("c"))
+    # Then what is left between components.
+    apart = pairs
+    for side in ("a", "b"):
+        apart = apart.join(found.select(F.col("v").alias(side), F.col("c").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    rest = written(apart.filter("ca <> cb").select(F.col("a").alias("hub"), F.col("b").alias("spoke")), "apart")
+    across = [] if rest.isEmpty() else [star_links(rest, sets, tasks)]
+    inside = crowd_links(hubs, found, nodes, sets, tasks)
+    across += [] if inside is None else [inside]
+    fresh = None
+    for x in across:
+        fresh = x if fresh is None else fresh.unionByName(x)
+    if fresh is not None:
+        fresh = written(fresh, "links")
+        if not fresh.isEmpty():
+            found = components(links.unionByName(fresh))
+
+    same = nodes.join(found.select(F.col("v").alias("node"), "c"), "node", "left").select("digest", "leader", "copies", F.coalesce("c", "node").alias("c"))
     smallest = same.groupBy("c").agg(F.min("leader").alias("component_id"))
-    labelled = written(same.join(smallest, "c").select("node", "copies", "component_id"), "labels")
-    full = join_counted(meta.filter("n > 0").select("doc_id", "n", "node"), labelled, "node", "copies", totals.docs)
-    empty = meta.filter("n = 0").select("doc_id", "n", "node", F.lit(0).cast("long").alias("copies"), F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "node")
+    labelled = written(same.join(smallest, "c").select("digest", "copies", "component_id"), "labels")
+    full = join_counted(sets.filter("n > 0").select("doc_id", "n", "digest"), labelled, "digest", "copies", totals.docs)
+    return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
