@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import tempfile
 import uuid
@@ -33,18 +34,45 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: The folders of the settled() calls that are being built, the innermost last.
+_scratch: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/strandline-{name}-{uuid.uuid4().hex}"
+    return f"{_scratch[-1] if _scratch else shared_dir(spark)}/strandline-{name}-{uuid.uuid4().hex}"
+
 
+def written(df: DataFrame, name: str, path: str | None = None, few: bool = False) -> DataFrame:
+    """The same rows from Parquet in the shared folder: they outlive executors, and lineage ends here.
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """The same rows from Parquet in the shared folder: they outlive executors, and lineage ends here."""
+    few: there are little data for each task, so they are gathered into files of a useful size.
+    """
     spark = df.sparkSession
     path = path or fresh_dir(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    (df.hint("rebalance") if few else df).write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Shuffle files go when the driver collects its garbage; a driver with little to do would keep them for long."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
+def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What build returns, as a written table; all that it wrote on the way is deleted."""
+    result, folder = fresh_dir(spark, name), fresh_dir(spark, f"{name}-work")
+    _scratch.append(folder)
+    try:
+        out = written(build(), name, result)
+    finally:
+        _scratch.pop()
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    freed(spark)
+    return out
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow with small batches, whose worker gives back what memory a task has freed."""
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shared, collected_bits, join_counted, map_batches, possible_members, without, written
+from .common import Shared, collected_bits, freed, join_counted, map_batches, possible_members, settled, without, written
 from .components import components
 from .shingles import SIZE, shingle_sets
 from .tokenise import groups as slices
@@ -558,7 +558,7 @@ def candidate_pairs(met: list[DataFrame], nodes: DataFrame, sets: DataFrame) ->
     pairs = pairs.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("row").alias(side), F.col("n").alias(f"n{side}"), F.col("bitmap").alias(f"m{side}")), side)
-    return written(alike(pairs), "pairs"), crowds
+    return written(alike(pairs), "pairs", few=True), crowds
 
 
 def hubs_of(crowds: DataFrame) -> DataFrame:
@@ -577,8 +577,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing: component_id is their own id. An empty table gives no rows; further
     columns are ignored. Very long texts are sets like others.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return settled(docs.sparkSession, "near", lambda: _near_duplicates(docs, size, crowd))
+
+
+def _near_duplicates(docs: DataFrame, size: int, crowd: int) -> DataFrame:
+    spark = docs.sparkSession
     sets = written(describe(docs, size), "sets")
     nodes = sets.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("leader"), F.min("n").alias("n"), F.min("gid").alias("gid"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes, "nodes")
@@ -589,13 +593,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-totals.shingles // 4 // TASK_POSTINGS))
     buckets = tasks * BUCKETS
-    met = [written(meetings(postings(sets, buckets, crowd), tasks, crowd, False), "meetings")]
+    met = [written(meetings(postings(sets, buckets, crowd), tasks, crowd, False), "meetings", few=True)]
+    freed(spark)
     hot = met[0].filter(f"kind = {CROWDED}").select(F.col("a").alias("shingle"))
     if not hot.isEmpty():
         asked = marks(hot)
         more = frequent(whole_counts(sets, buckets, asked), tasks, crowd)
         last = marks(hot.unionByName(more))
-        met.append(written(meetings(postings(sets, buckets, crowd, asked, last), tasks, crowd, True), "meetings"))
+        freed(spark)
+        met.append(written(meetings(postings(sets, buckets, crowd, asked, last), tasks, crowd, True), "meetings", few=True))
+        freed(spark)
     pairs, crowds = candidate_pairs(met, nodes, sets)
     hubs = hubs_of(crowds)
 
@@ -603,7 +610,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.groupBy("a").agg(F.min("b").alias("b")).select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("spoke"))
     stars = near.unionByName(hubs.filter("hub <> node").select("hub", F.col("node").alias("spoke"))).distinct()
-    links = written(star_links(written(stars, "near"), sets, tasks), "links")
+    links = written(star_links(written(stars, "near"), sets, tasks), "links", few=True)
+    freed(spark)
     found = components(links)
 
     # Then what is left between components.
@@ -618,7 +626,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for x in across:
         fresh = x if fresh is None else fresh.unionByName(x)
     if fresh is not None:
-        fresh = written(fresh, "links")
+        fresh = written(fresh, "links", few=True)
         if not fresh.isEmpty():
             found = components(links.unionByName(fresh))
 
