@@ -1,21 +1,23 @@
 """Exact dedup: a streaming aggregation whose keyed state lies on disk and never expires.
 
-Every text is reduced to a SHA-256 digest of its normalised form. The digests go
-through a Structured Streaming aggregation without a watermark, so its RocksDB
-state keeps one entry a digest for good: the digest, the smallest identifier
-with its content locator (the row number in the landed table), and a count.
-Hits, rows whose digest has another row, have their full bytes compared with the
-text at the locator; rows that share only a digest are told apart by their bytes.
+Documents are landed first: identifier, digest, content, and a locator, which
+is the number of the landing and of the row in it, so it finds one landed row
+for good. The digests go through a Structured Streaming aggregation without a
+watermark, so its RocksDB state keeps one entry a digest for good: the digest,
+the smallest identifier with its locator, and a count. Hits, rows whose digest
+has another row, have their full bytes compared with the content that the
+holder's locator finds; rows that share only a digest are told apart by bytes.
 
 Everything here is DataFrame code on the JVM.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, join_counted, possible_members, without, written
+from .common import fresh_dir, join_counted, possible_members, settled, without, written
 
 _STATE = "spark.sql.streaming.stateStore"
 #: State on disk, an executor's native memory for all its state partitions bounded, no disk preallocated for small ones.
@@ -48,16 +50,21 @@ class StreamingDedup:
     def __init__(self, spark: SparkSession, root: str | None = None, rows_files_a_batch: int | None = None):
         self.spark, self.root, self.files = spark, root or fresh_dir(spark, "dedup"), rows_files_a_batch
 
-    def add(self, digests: DataFrame) -> None:
-        """digests: doc_id, digest. Lands them with a locator and runs the stream over what is new."""
-        landed = digests.select("doc_id", "digest", F.monotonically_increasing_id().alias("locator"))
+    def add(self, rows: DataFrame) -> None:
+        """rows: doc_id, digest, norm (the content). Lands them under new locators and runs the stream over what is new."""
+        try:
+            earlier = self.landed().agg(F.max("locator.landing")).first()[0]
+        except AnalysisException:  # nothing is landed yet
+            earlier = None
+        locator = F.struct(F.lit(0 if earlier is None else earlier + 1).alias("landing"), F.monotonically_increasing_id().alias("row"))
+        landed = rows.select("doc_id", "digest", locator.alias("locator"), "norm")
         landed.write.mode("append").parquet(f"{self.root}/landed")
         conf = self.spark.conf
         before = {k: conf.get(k, None) for k in STATE_CONF}
         for k, v in STATE_CONF.items():
             conf.set(k, v)
         try:
-            stream = self.spark.readStream.schema(landed.schema)
+            stream = self.spark.readStream.schema(landed.drop("norm").schema)
             if self.files:
                 stream = stream.option("maxFilesPerTrigger", self.files)
             state = (
@@ -68,7 +75,7 @@ class StreamingDedup:
             changes = f"{self.root}/changes"
             (
                 state.writeStream.outputMode("update")
-                .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{changes}/batch={n}"))
+                .foreachBatch(lambda df, n: df.hint("rebalance").write.mode("overwrite").parquet(f"{changes}/batch={n}"))
                 .option("checkpointLocation", f"{self.root}/state")
                 .trigger(availableNow=True)
                 .start()
@@ -83,7 +90,7 @@ class StreamingDedup:
 
     def groups(self) -> DataFrame:
         """A row for each digest: digest, holder, group_size. Later batches supersede earlier ones."""
-        schema = "digest binary, holder struct<no_id: boolean, doc_id: " + dict(self.landed().dtypes)["doc_id"] + ", locator: bigint>, group_size bigint"
+        schema = "digest binary, holder struct<no_id: boolean, doc_id: " + dict(self.landed().dtypes)["doc_id"] + ", locator: struct<landing: int, row: bigint>>, group_size bigint"
         changes = self.spark.read.schema(schema).parquet(f"{self.root}/changes/batch=*")
         return changes.groupBy("digest").agg(F.min("holder").alias("holder"), F.max("group_size").alias("group_size"))
 
@@ -97,49 +104,43 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digest: replaces the SHA-256 digest (binary); its collisions are resolved by
     the texts' bytes.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
+    return settled(docs.sparkSession, "dedup", lambda: _exact_dedup(docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm")), digest))
+
+
+def _exact_dedup(texts: DataFrame, digest: Column | None) -> DataFrame:
+    spark = texts.sparkSession
     sha = F.unhex(F.sha2(F.col("norm"), 256))
-    key = sha if digest is None else digest
     store = StreamingDedup(spark)
-    store.add(texts.select("doc_id", key.alias("digest")))
-    landed, total = store.landed(), store.landed().count()
+    store.add(texts.select("doc_id", (sha if digest is None else digest).alias("digest"), "norm"))
+    content = store.landed()
+    landed = content.drop("norm")
+    total = landed.count()
     if not total:
         return spark.createDataFrame([], f"doc_id {dict(texts.dtypes)['doc_id']}, keep_id {dict(texts.dtypes)['doc_id']}, group_size bigint, kept boolean, text_sha256 string")
     groups = written(store.groups(), "groups")
     joined = join_counted(landed, groups, "digest", "group_size", total)
 
-    # Hits: their ids find the texts again, and each text meets a replica of the one that stays.
-    hits = written(joined.filter("group_size > 1").select("doc_id", "digest", "holder", "group_size").distinct(), "hits")
-    with_text = possible_members(texts.withColumn("digest", key), F.struct("doc_id", "digest"), hits, F.struct("doc_id", "digest"))
-    renamed = hits.withColumnsRenamed({"doc_id": "h_id", "digest": "h_digest"})
-    found = with_text.join(renamed, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("digest") == F.col("h_digest"))).drop("h_id", "h_digest")
+    # Hits: locators find their texts, and each meets a replica of the one that stays.
+    hits = written(joined.filter("group_size > 1").select("locator", "digest", "holder", "group_size"), "hits")
+    found = possible_members(content.select("locator", "norm"), F.col("locator"), hits, F.col("locator")).join(hits, "locator")
     found = written(found, "found")
     replicas = F.ceil(F.col("group_size") / COPIES_A_REPLICA).cast("int")
-    holders = (
-        found.filter(F.col("doc_id").eqNullSafe(F.col("holder.doc_id")))
-        .groupBy("digest").agg(F.min("norm").alias("kept_norm"), F.first(replicas).alias("n"))
-        .select("digest", "kept_norm", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("replica"))
-    )
-    copies = found.withColumn("replica", F.pmod(F.xxhash64("doc_id"), replicas).cast("int"))
+    holders = found.filter("locator = holder.locator").select("digest", F.col("norm").alias("kept_norm"), F.explode(F.sequence(F.lit(0), replicas - 1)).alias("replica"))
+    copies = found.filter("locator <> holder.locator").withColumn("replica", F.pmod(F.xxhash64("locator"), replicas).cast("int"))
     differing = copies.join(holders, ["digest", "replica"]).filter(F.col("norm") != F.col("kept_norm")).select("digest").distinct()
-    split = written(differing, "split")
-    if split.isEmpty():
-        return joined.select(
-            "doc_id", F.col("holder.doc_id").alias("keep_id"), "group_size",
-            (F.col("locator") == F.col("holder.locator")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256") if digest is None else F.lit(None).cast("string").alias("text_sha256"),
-        )
-    # A digest with several texts: its rows are grouped by their bytes instead.
+    if written(differing, "split").isEmpty():
+        shown = F.lower(F.hex("digest")) if digest is None else F.lit(None).cast("string")
+        return joined.select("doc_id", F.col("holder.doc_id").alias("keep_id"), "group_size", (F.col("locator") == F.col("holder.locator")).alias("kept"), shown.alias("text_sha256"))
+    # A digest with several texts: rows are grouped by their bytes instead.
     again = StreamingDedup(spark)
-    again.add(texts.select("doc_id", F.unhex(F.concat(F.hex(sha), F.hex(F.col("norm").cast("binary")))).alias("digest")))
-    whole = again.landed()
-    exact = join_counted(whole, written(again.groups(), "groups"), "digest", "group_size", total)
+    again.add(content.select("doc_id", F.unhex(F.concat(F.hex(sha), F.hex(F.col("norm").cast("binary")))).alias("digest"), "norm"))
+    exact = join_counted(again.landed().drop("norm"), written(again.groups(), "groups"), "digest", "group_size", total)
     return exact.select("doc_id", F.col("holder.doc_id").alias("keep_id"), "group_size", (F.col("locator") == F.col("holder.locator")).alias("kept"), F.lower(F.substring(F.hex("digest"), 1, 64)).alias("text_sha256"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that exact_dedup keeps, with all their columns, whatever those are called."""
-    ruled = written(exact_dedup(docs, id_col, text_col), "ruled")
+    ruled = exact_dedup(docs, id_col, text_col)
     # A null id is a key of its own.
     keys = ["no_id", "id", "sha"]
     key = lambda c, sha: (F.col(c).isNull().alias("no_id"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("id"), sha.alias("sha"))

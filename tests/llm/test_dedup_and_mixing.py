@@ -51,10 +51,15 @@ def test_exact_collisions_are_told_apart_by_bytes(spark):
 
 def test_state_outlives_a_batch(spark, tmp_path):
     store = E.StreamingDedup(spark, "file://" + str(tmp_path / "store"))
-    rows = lambda *x: docs(spark, list(x)).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    rows = lambda *x: docs(spark, list(x)).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.col("text").alias("norm"))
     store.add(rows((5, "a"), (6, "b")))
     store.add(rows((4, "a"), (7, "b")))
-    assert sorted((r.holder.doc_id, r.group_size) for r in store.groups().collect()) == [(4, 2), (6, 2)]
+    groups = store.groups()
+    assert sorted((r.holder.doc_id, r.group_size) for r in groups.collect()) == [(4, 2), (6, 2)]
+    # Locators of two landings are told apart, and each finds its own content.
+    found = store.landed().join(groups.select("digest", "holder"), "digest").select("doc_id", "norm", (F.col("locator") == F.col("holder.locator")).alias("kept"))
+    assert sorted((r.doc_id, r.norm, r.kept) for r in found.collect()) == [(4, "a", True), (5, "a", False), (6, "b", True), (7, "b", False)]
+    assert store.landed().select("locator").distinct().count() == 4
 
 
 def test_keep_first_keeps_columns_and_one_row(spark):
