@@ -11,6 +11,12 @@ def edited(accesses: DataFrame, removed: DataFrame, added: DataFrame) -> DataFra
     return accesses.join(removed.select("idx"), "idx", "left_anti").unionByName(added)
 
 
+def net(accesses: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
+    """What an edit comes to: rows of accesses that go and rows that come, with `new`; equal ones cancel out."""
+    gone = accesses.join(removed.select("idx"), "idx", "left_semi").select(accesses.columns)
+    return one_sided(gone, added.select(accesses.columns))
+
+
 def one_sided(before: DataFrame, after: DataFrame) -> DataFrame:
     """Distinct rows that one side alone has, with `new`: whether that is `after`. One shuffle for both directions."""
     both = before.withColumn("_after", F.lit(False)).unionByName(after.withColumn("_after", F.lit(True)))

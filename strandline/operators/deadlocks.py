@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.lineage import cut
+
 from .locks import inside, merged_sections, nested_acquisitions
 from .threads import may_be_parallel
 
@@ -20,7 +22,7 @@ def with_gates(sections: DataFrame) -> DataFrame:
     """Nested acquisitions with gates: the other locks held at the outer one's acquisition."""
     nested = nested_acquisitions(sections)
     outer = nested.select("tid", F.col("p1").alias("pos"), F.col("l1").alias("_l1")).distinct()
-    held = inside(outer, merged_sections(sections)).filter("lk <> _l1").groupBy(F.col("tid").alias("_tid"), F.col("pos").alias("_pos")).agg(F.collect_set("lk").alias("gates"))
+    held = inside(outer, merged_sections(sections)).filter("lk <> _l1").groupBy(F.col("tid").alias("_tid"), F.col("pos").alias("_pos")).agg(F.array_sort(F.collect_set("lk")).alias("gates"))
     kind = dict(sections.dtypes)["lk"]
     return nested.join(held, (F.col("tid") == F.col("_tid")) & (F.col("p1") == F.col("_pos")), "left").drop("_tid", "_pos").withColumn("gates", F.coalesce("gates", F.array().cast(f"array<{kind}>")))
 
@@ -30,15 +32,30 @@ def deadlocks(sections: DataFrame, paths: DataFrame, gated: bool = False) -> Dat
 
     gated: pairs that a further lock, held by both threads, keeps apart are left out.
     """
-    nested = with_gates(sections) if gated else nested_acquisitions(sections)
-    where = nested.join(paths, "tid")
+    nested = cut(with_gates(sections) if gated else nested_acquisitions(sections))
+    # Threads that are no ancestors of each other are parallel or not as a whole: one row for each order a thread has is enough.
+    kind = ["tid", "l1", "l2", *(["gates"] if gated else [])]
+    where = nested.select(*kind).distinct().join(paths, "tid")
     columns = [c for c in where.columns if c not in ("l1", "l2")]
     p = where.select("l1", "l2", *[F.col(c).alias(f"a_{c}") for c in columns])
     q = where.select(F.col("l2").alias("l1"), F.col("l1").alias("l2"), *[F.col(c).alias(f"b_{c}") for c in columns])
     met = p.join(q, ["l1", "l2"]).filter("a_tid < b_tid")
     if gated:
         met = met.filter(~F.arrays_overlap("a_gates", "b_gates"))
-    # In q the locks are exchanged: its p1 is where it took l2.
-    for at in ("p1", "p2"):
-        met = met.withColumn("a_pos", F.col(f"a_{at}")).withColumn("b_pos", F.col(f"b_{at}")).filter(may_be_parallel("a", "b"))
-    return met.select(F.col("a_tid").alias("tid1"), F.col("b_tid").alias("tid2"), "l1", "l2").distinct()
+    nowhere = F.lit(None).cast(dict(nested.dtypes)["p1"])
+    judged = met.withColumn("a_pos", nowhere).withColumn("b_pos", nowhere).withColumn("known", may_be_parallel("a", "b"))
+    out = ["a_tid", "b_tid", "l1", "l2"]
+    found = judged.filter("known").select(*out)
+    # An ancestor's acquisitions count one by one: both must lie between the other's start and join.
+    for x, y in (("a", "b"), ("b", "a")):
+        of = judged.filter("known is null").filter(F.size(f"{x}_path") < F.size(f"{y}_path")).drop("a_pos", "b_pos")
+        locks = {"a": ("l1", "l2"), "b": ("l2", "l1")}[x]
+        spots = nested.select(F.col("tid").alias("_tid"), F.col("l1").alias("_l1"), F.col("l2").alias("_l2"), "p1", "p2", *([F.col("gates").alias("_gates")] if gated else []))
+        same = (F.col(f"{x}_tid") == F.col("_tid")) & (F.col(locks[0]) == F.col("_l1")) & (F.col(locks[1]) == F.col("_l2"))
+        if gated:
+            same &= F.col(f"{x}_gates") == F.col("_gates")
+        at = of.join(spots, same)
+        for p in ("p1", "p2"):
+            at = at.withColumn("a_pos", F.col(p)).withColumn("b_pos", F.col(p)).filter(may_be_parallel("a", "b"))
+        found = found.unionByName(at.select(*out))
+    return found.distinct().select(F.col("a_tid").alias("tid1"), F.col("b_tid").alias("tid2"), "l1", "l2")

@@ -20,18 +20,18 @@ def explain(events: DataFrame, paths: DataFrame) -> DataFrame:
     return up.select("idx", F.explode(F.concat(own, starts)).alias("x")).select("idx", "x.step", "x.tid", "x.pos")
 
 
-def call_paths(edges: DataFrame, targets: DataFrame, root: str, most: int = 32) -> DataFrame:
-    """target, path: simple paths of callers (a calls b) from the root to each target, of so many calls at most."""
+def call_paths(edges: DataFrame, targets: DataFrame, root: str, most_rounds: int = 10_000) -> DataFrame:
+    """target, path: all simple paths of callers (a calls b) from the root to each target. Nodes on a path are distinct, so paths end."""
     back = edges.select(F.col("b").alias("_b"), F.col("a").alias("_a")).distinct()
     at = cut(targets.select(F.col("node").alias("target"), F.array("node").alias("path")))
     done = at.filter(F.col("path")[0] == root)
-    for _ in range(most):
+    for _ in range(most_rounds):
         up = at.filter(F.col("path")[0] != root).join(back, F.col("path")[0] == F.col("_b")).filter(~F.array_contains("path", F.col("_a")))
         at = cut(up.select("target", F.concat(F.array("_a"), "path").alias("path")))
         if at.isEmpty():
-            break
+            return done.select("target", F.array_join("path", " > ").alias("path"))
         done = done.unionByName(at.filter(F.col("path")[0] == root))
-    return done.select("target", F.array_join("path", " > ").alias("path"))
+    raise RuntimeError("the call paths didn't end")
 
 
 def root_distance(parents: DataFrame, most: int = 10_000) -> DataFrame:

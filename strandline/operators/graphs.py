@@ -9,16 +9,19 @@ from strandline.functions.lineage import cut
 
 
 def reach(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(a, b) for every b reached from a by one call or more. Path doubling: log2(depth) rounds."""
+    """(a, b) for every b reached from a by one call or more. Path doubling: log2(depth) rounds, in which only new ways are extended."""
     known = cut(edges.select("a", "b").distinct())
-    size = known.count()
+    fresh = known
     for _ in range(most_rounds):
-        step = known.select(F.col("a").alias("m"), F.col("b").alias("to"))
-        known = cut(known.unionByName(known.join(step, F.col("b") == F.col("m")).select("a", F.col("to").alias("b"))).distinct())
-        now = known.count()
-        if now == size:
+        # A way found in the last round, with any known one behind it and, but in the first round, any before it.
+        tail, head = known.select(F.col("a").alias("m"), F.col("b").alias("to")), fresh.select(F.col("a").alias("m"), F.col("b").alias("to"))
+        longer = fresh.join(tail, F.col("b") == F.col("m")).select("a", F.col("to").alias("b"))
+        if fresh is not known:
+            longer = longer.unionByName(known.join(head, F.col("b") == F.col("m")).select("a", F.col("to").alias("b")))
+        fresh = cut(longer.distinct().join(known, ["a", "b"], "left_anti"))
+        if fresh.isEmpty():
             return known
-        size = now
+        known = cut(known.unionByName(fresh))
     raise RuntimeError("the closure didn't settle")
 
 
@@ -36,11 +39,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, most_rounds: int = 10_000) ->
     raise RuntimeError("the propagation didn't settle")
 
 
-def withdraw(edges: DataFrame, seeds: DataFrame, removed: DataFrame) -> DataFrame:
-    """(node, tid) after seeds (node, tid) are removed: only the threads concerned are carried anew."""
+def withdraw(edges: DataFrame, seeds: DataFrame, removed: DataFrame, carried: DataFrame) -> DataFrame:
+    """(node, tid) after seeds (node, tid) are removed, from what was `carried` before: only the threads concerned are carried anew."""
     tids = removed.select("tid").distinct()
-    kept = seeds.join(removed, ["node", "tid"], "left_anti")
-    return propagate(edges, kept.join(tids, "tid", "left_semi")).unionByName(propagate(edges, kept.join(tids, "tid", "left_anti")))
+    kept = seeds.join(tids, "tid", "left_semi").join(removed, ["node", "tid"], "left_anti")
+    return carried.join(tids, "tid", "left_anti").select("node", "tid").unionByName(propagate(edges, kept))
 
 
 def orphans(edges: DataFrame, roots: DataFrame, most_rounds: int = 10_000) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Within one thread and lock, events are ordered by position. All joins here have
 the thread as an equality; a long thread is cut into bins of positions, so that
-one thread's accesses are not paired with all its sections.
+one thread's accesses are not paired with all its sections. Bins are as wide as
+the sections are long, so a section lies in two of them at most.
 """
 
 from __future__ import annotations
@@ -11,16 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Positions in a bin of the interval joins.
-BIN = 4096
+#: The narrowest bins of the interval joins hold 2 ** NARROWEST positions.
+NARROWEST = 6
 
 
 def critical_sections(locks: DataFrame) -> DataFrame:
     """tid, lk, lo, hi: each acquisition with the next release of its lock in its thread; unreleased ones are left out.
 
-    One window over (tid, lk), no join of acquisitions with releases.
+    One window over (tid, lk), no join of acquisitions with releases. It runs
+    backwards, so the least release so far is kept as it goes: linear in the events.
+    A release at an acquisition's own position is none of its.
     """
-    w = W.partitionBy("tid", "lk").orderBy("pos").rowsBetween(1, W.unboundedFollowing)
+    w = W.partitionBy("tid", "lk").orderBy(F.desc("pos"), "kind").rowsBetween(W.unboundedPreceding, -1)
     release = F.min(F.when(F.col("kind") == "UNLOCK", F.col("pos"))).over(w)
     return locks.withColumn("hi", release).filter("kind = 'LOCK' and hi is not null").select("tid", "lk", F.col("pos").alias("lo"), "hi")
 
@@ -30,18 +33,38 @@ def merged_sections(sections: DataFrame) -> DataFrame:
     return sections.groupBy("tid", "lk", "hi").agg(F.min("lo").alias("lo"))
 
 
-def inside(points: DataFrame, sections: DataFrame, bin_size: int = BIN) -> DataFrame:
+def ranked(points: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """points with _at, spans (_tid, lk, lo, hi) with _lo and _hi: the positions' dense ranks within their thread."""
+    ends = [spans.select(F.col("_tid").alias("tid"), F.col(c).alias("pos")) for c in ("lo", "hi")]
+    every = points.select("tid", "pos").unionByName(ends[0]).unionByName(ends[1]).distinct()
+    rank = every.withColumn("_rank", F.dense_rank().over(W.partitionBy("tid").orderBy("pos")).cast("long"))
+    named = lambda pos, to: rank.select(F.col("tid").alias("_t"), F.col("pos").alias("_p"), F.col("_rank").alias(to)).alias(pos)
+    at = points.join(named("at", "_at"), (F.col("tid") == F.col("_t")) & (F.col("pos") == F.col("_p"))).drop("_t", "_p")
+    for c in ("lo", "hi"):
+        spans = spans.join(named(c, f"_{c}"), (F.col("_tid") == F.col("_t")) & (F.col(c) == F.col("_p"))).drop("_t", "_p")
+    return at, spans
+
+
+def inside(points: DataFrame, sections: DataFrame) -> DataFrame:
     """points (tid, pos, ...) with lk, lo, hi of every section that strictly holds them.
 
-    Numeric positions are binned; others are joined by thread alone.
+    A section of length n lies in bins of a width above n: two of them. A point
+    looks in one bin for each width that its thread has. Positions other than
+    whole numbers are ranked first.
     """
     spans = sections.select(F.col("tid").alias("_tid"), "lk", "lo", "hi")
-    within = (F.col("lo") < F.col("pos")) & (F.col("pos") < F.col("hi"))
     if dict(points.dtypes)["pos"] in ("int", "bigint"):
-        binned = spans.withColumn("_bin", F.explode(F.sequence(F.expr(f"lo div {bin_size}"), F.expr(f"hi div {bin_size}"))))
-        keyed = points.withColumn("_bin0", F.expr(f"pos div {bin_size}"))
-        return keyed.join(binned, (F.col("tid") == F.col("_tid")) & (F.col("_bin0") == F.col("_bin")) & within).drop("_tid", "_bin", "_bin0")
-    return points.join(spans, (F.col("tid") == F.col("_tid")) & within).drop("_tid")
+        points, spans = points.withColumn("_at", F.col("pos").cast("long")), spans.withColumn("_lo", F.col("lo").cast("long")).withColumn("_hi", F.col("hi").cast("long"))
+    else:
+        points, spans = ranked(points, spans)
+    spans = spans.withColumn("_wide", F.greatest(F.lit(NARROWEST), F.length(F.bin(F.col("_hi") - F.col("_lo")))))
+    widths = spans.groupBy(F.col("_tid").alias("_of")).agg(F.collect_set("_wide").alias("_widths"))
+    shifted = lambda c: F.expr(f"shiftright({c}, _wide)")
+    binned = spans.withColumn("_bin", F.explode(F.sequence(shifted("_lo"), shifted("_hi")))).withColumnRenamed("_wide", "_wide0")
+    keyed = points.join(widths, F.col("tid") == F.col("_of")).withColumn("_wide", F.explode("_widths")).withColumn("_bin0", shifted("_at"))
+    within = (F.col("_lo") < F.col("_at")) & (F.col("_at") < F.col("_hi"))
+    met = keyed.join(binned, (F.col("tid") == F.col("_tid")) & (F.col("_wide") == F.col("_wide0")) & (F.col("_bin0") == F.col("_bin")) & within)
+    return met.drop("_of", "_widths", "_wide", "_bin0", "_at", "_tid", "_lo", "_hi", "_wide0", "_bin")
 
 
 def locksets(accesses: DataFrame, sections: DataFrame) -> DataFrame:
@@ -51,9 +74,11 @@ def locksets(accesses: DataFrame, sections: DataFrame) -> DataFrame:
 
 def with_locksets(accesses: DataFrame, sections: DataFrame) -> DataFrame:
     """accesses with locks: a sorted array, empty without any; as long as locks are nested."""
-    sets = locksets(accesses, sections).groupBy(F.col("idx").alias("_idx")).agg(F.array_sort(F.collect_set("lk")).alias("locks"))
+    held = inside(accesses.select("idx", "tid", "pos"), merged_sections(sections))
+    sets = held.groupBy(F.col("idx").alias("_idx"), F.col("tid").alias("_tid"), F.col("pos").alias("_pos")).agg(F.array_sort(F.collect_set("lk")).alias("locks"))
     kind = dict(sections.dtypes)["lk"]
-    return accesses.join(sets, F.col("idx") == F.col("_idx"), "left").drop("_idx").withColumn("locks", F.coalesce("locks", F.array().cast(f"array<{kind}>")))
+    same = (F.col("idx") == F.col("_idx")) & (F.col("tid") == F.col("_tid")) & (F.col("pos") == F.col("_pos"))
+    return accesses.join(sets, same, "left").drop("_idx", "_tid", "_pos").withColumn("locks", F.coalesce("locks", F.array().cast(f"array<{kind}>")))
 
 
 def nested_acquisitions(sections: DataFrame) -> DataFrame:

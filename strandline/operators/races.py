@@ -7,21 +7,28 @@ from pyspark.sql import functions as F
 
 from .threads import may_be_parallel
 
+#: Writes of a variable that one task pairs; a variable with more is split into blocks of about so many.
+BLOCK_WRITES = 1000
+
 
 def access_counts(accesses: DataFrame) -> DataFrame:
     """sig, tid, reads, writes."""
     return accesses.groupBy("sig", "tid").agg(F.count_if(F.col("kind") == "READ").alias("reads"), F.count_if(F.col("kind") == "WRITE").alias("writes"))
 
 
+def _shared(accesses: DataFrame) -> DataFrame:
+    per_thread = access_counts(accesses)
+    return per_thread.groupBy("sig").agg(F.count(F.lit(1)).alias("n_threads"), F.sum("writes").alias("n_writes")).filter("n_threads > 1 and n_writes > 0")
+
+
 def shared_vars(accesses: DataFrame) -> DataFrame:
     """sig, n_threads of variables that are written, and touched by two threads at least."""
-    per_thread = access_counts(accesses)
-    return per_thread.groupBy("sig").agg(F.count(F.lit(1)).alias("n_threads"), F.sum("writes").alias("_w")).filter("n_threads > 1 and _w > 0").drop("_w")
+    return _shared(accesses).drop("n_writes")
 
 
 def nonlocal_accesses(accesses: DataFrame) -> DataFrame:
-    """Accesses to shared variables: a semi join that shrinks what is paired."""
-    return accesses.join(shared_vars(accesses).select("sig"), "sig", "left_semi")
+    """Accesses to shared variables, with n_writes of the variable: a join that shrinks what is paired."""
+    return accesses.join(_shared(accesses).select("sig", "n_writes"), "sig")
 
 
 def _sides(accesses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -31,15 +38,33 @@ def _sides(accesses: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def pairs(accesses: DataFrame) -> DataFrame:
-    """Conflicting pairs of different threads: a write with each read, and with each later write. Columns a_*, b_*, sig."""
+    """Conflicting pairs of different threads: a write with each read, and with each later write. Columns a_*, b_*, sig.
+
+    With n_writes (of the variable), the writes of a hot variable are dealt out
+    over blocks, so no task has them all; its accesses go to every block.
+    """
     one, two = _sides(accesses)
-    met = one.filter("a_kind = 'WRITE'").join(two, "sig")
+    on = ["sig"]
+    if "n_writes" in accesses.columns:
+        blocks = lambda p: F.ceil(F.col(f"{p}_n_writes") / BLOCK_WRITES).cast("int")
+        one = one.withColumn("_block", F.pmod(F.xxhash64("a_idx"), blocks("a")).cast("int")).drop("a_n_writes")
+        two = two.withColumn("_block", F.explode(F.sequence(F.lit(0), blocks("b") - 1))).drop("b_n_writes")
+        on.append("_block")
+    met = one.filter("a_kind = 'WRITE'").join(two, on).drop("_block")
     return met.filter("a_tid <> b_tid and (b_kind = 'READ' or a_idx < b_idx)")
 
 
+def pairs_with(accesses: DataFrame, some: DataFrame) -> DataFrame:
+    """The pairs of which one is at least among `some`, a part of the accesses: each once."""
+    marked = accesses.join(some.select(F.col("idx").alias("_idx")), F.col("idx") == F.col("_idx"), "left").withColumn("some", F.col("_idx").isNotNull()).drop("_idx")
+    one, two = _sides(marked)
+    met = one.filter("a_some").join(two, "sig").filter("a_tid <> b_tid and (a_kind = 'WRITE' or b_kind = 'WRITE') and (not b_some or a_idx < b_idx)")
+    return met.drop("a_some", "b_some")
+
+
 def race_candidates(accesses: DataFrame) -> DataFrame:
     """sig, wi, xi."""
-    return pairs(nonlocal_accesses(accesses).select("idx", "tid", "kind", "sig")).select("sig", F.col("a_idx").alias("wi"), F.col("b_idx").alias("xi"))
+    return pairs(nonlocal_accesses(accesses).select("idx", "tid", "kind", "sig", "n_writes")).select("sig", F.col("a_idx").alias("wi"), F.col("b_idx").alias("xi"))
 
 
 def unprotected(candidates: DataFrame) -> DataFrame:

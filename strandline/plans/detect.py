@@ -11,19 +11,25 @@ from strandline.functions.lineage import cut
 from strandline.operators import changes, deadlocks, locks, races, threads
 from strandline.sources.facts import Facts
 
-#: Threads and their paths are broadcast up to so many; with more, accesses are joined with them by shuffle.
-MAX_BROADCAST_THREADS = 100_000
+#: Threads' paths are broadcast up to so many entries of their arrays, some 30 MB; with more, accesses are joined with them by shuffle.
+MAX_BROADCAST_STEPS = 300_000
 
 
-def small(df: DataFrame, most: int = MAX_BROADCAST_THREADS) -> DataFrame:
-    """df, to be broadcast if it has no more rows than most."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(paths: DataFrame, most: int = MAX_BROADCAST_STEPS) -> DataFrame:
+    """paths, to be broadcast if their arrays are short enough in all."""
+    steps = paths.agg(F.sum(F.size("path"))).first()[0] or 0
+    return F.broadcast(paths) if steps <= most else paths
+
+
+def _with_context(accesses: DataFrame, facts: Facts, paths: DataFrame) -> DataFrame:
+    """accesses with their locks and their thread's path: all that a pair needs to be judged. Written once, as pairs read it twice."""
+    return cut(locks.with_locksets(accesses, locks.critical_sections(facts.locks)).join(small(paths), "tid"))
 
 
 def placed(facts: Facts, paths: DataFrame | None = None) -> DataFrame:
-    """Accesses to shared variables with their locks and their thread's path: all that a pair needs to be judged."""
+    """Accesses to shared variables, ready to be paired."""
     paths = threads.thread_paths(facts.threads) if paths is None else paths
-    return locks.with_locksets(races.nonlocal_accesses(facts.accesses), locks.critical_sections(facts.locks)).join(small(paths), "tid")
+    return _with_context(races.nonlocal_accesses(facts.accesses), facts, paths)
 
 
 def unprotected_pairs(facts: Facts, paths: DataFrame | None = None) -> DataFrame:
@@ -40,6 +46,10 @@ def detect_deadlocks(facts: Facts, gated: bool = False) -> DataFrame:
     return deadlocks.deadlocks(locks.critical_sections(facts.locks), small(threads.thread_paths(facts.threads)), gated)
 
 
+#: Variables of a delta that are broadcast to find their accesses.
+MAX_DELTA_KEYS = 50_000
+
+
 @dataclass(frozen=True)
 class Detection:
     races: DataFrame
@@ -69,6 +79,31 @@ def race_changes(before: Facts, after: Facts) -> tuple[DataFrame, DataFrame]:
     return changes.difference(detect_races(old, paths=old_paths), detect_races(new, paths=new_paths))
 
 
+def race_delta(before: Facts, removed: DataFrame, added: DataFrame, paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(added, removed) races after accesses are removed (by idx) and added; locks and threads stay.
+
+    A pair is judged by itself, so only pairs with a changed access are formed:
+    what the delta doesn't touch is neither derived nor compared. An access that
+    is removed and added again with other columns counts as changed.
+    """
+    paths = threads.thread_paths(before.threads) if paths is None else paths
+    columns = before.accesses.columns
+    delta = cut(changes.net(before.accesses, removed, added))
+    keys = F.broadcast(delta.select("sig").distinct()) if delta.count() <= MAX_DELTA_KEYS else delta.select("sig").distinct()
+    concerned = changes.only(before.accesses, keys, "sig").withColumn("_new", F.lit(None).cast("boolean"))
+    gone, new = delta.filter("not new"), delta.filter("new")
+    # One table has both states: _new is null for what stays, else whether it is added.
+    both = concerned.join(gone.select("idx"), "idx", "left_anti").unionByName(delta.withColumnRenamed("new", "_new").select(*columns, "_new"))
+    ready = _with_context(both, before, paths)
+    out = []
+    for state, some in ((True, new), (False, gone)):
+        side = ready.filter(F.col("_new").isNull() | (F.col("_new") == state))
+        changed = side.filter("_new is not null").select("idx")
+        pairs = races.pairs_with(side.drop("_new"), changed)
+        out.append(races.named(races.parallel(races.unprotected(pairs))))
+    return out[0], out[1]
+
+
 def deadlock_changes(before: Facts, after: Facts, gated: bool = False) -> tuple[DataFrame, DataFrame]:
     """(added, removed) deadlocks; only threads that share a lock with a changed thread are judged again."""
     old_locks, new_locks = cut(before.locks), cut(after.locks)

@@ -76,12 +76,12 @@ def placements(started: DataFrame, steps: DataFrame, most_rounds: int = 10_000)
     raise RuntimeError("the call graph didn't settle")
 
 
-def thread_forest(program: Program, main: str, steps: DataFrame, events: DataFrame, deepest: int = 16) -> tuple[DataFrame, DataFrame]:
-    """(threads, placements). A start in a loop makes two threads; a thread doesn't start its own ancestors' bodies."""
+def thread_forest(program: Program, main: str, steps: DataFrame, events: DataFrame, most_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(threads, placements). A start in a loop makes two threads; a thread doesn't start its own ancestors' bodies, so the forest ends."""
     spark = program.inst.sparkSession
     root = spark.createDataFrame([(main, main, None, [main])], "tid string, node_id string, ptid string, bodies array<string>").withColumn("s", F.array().cast("array<int>"))
     level, all_threads, placed = root, root, None
-    for _ in range(deepest):
+    for _ in range(most_rounds):
         here = placements(level, steps)
         placed = here if placed is None else placed.unionByName(here)
         starts = events.filter("kind = 'START'").join(here, "node_id").join(level.select("tid", "bodies"), "tid").filter(~F.array_contains("bodies", F.col("target")))
@@ -91,6 +91,8 @@ def thread_forest(program: Program, main: str, steps: DataFrame, events: DataFra
         if level.isEmpty():
             break
         all_threads = all_threads.unionByName(level)
+    else:
+        raise RuntimeError("the threads' forest didn't end")
     # A join of a body waits for the parent's threads of that body that were started before it.
     waits = events.filter("kind = 'JOIN'").join(placed, "node_id").select(F.col("tid").alias("_p"), F.col("target").alias("_n"), F.concat("at", "pos").alias("j"))
     met = all_threads.join(waits, (F.col("ptid") == F.col("_p")) & (F.col("node_id") == F.col("_n")) & (F.col("s") < F.col("j")), "left")
@@ -103,12 +105,13 @@ def facts_of(program: Program, main: str) -> Facts:
     inst = traces.without_catch_blocks(program.inst)
     fields = traces.field_events(inst, program.nodes, program.points_to, list(program.ignored_variables) or None)
     touched = fields.unionByName(traces.array_events(inst, program.nodes, program.points_to))
-    monitors = traces.monitor_events(inst, program.points_to).unionByName(traces.synchronized_calls(inst, program.edges, program.nodes, program.points_to))
-    calls = traces.call_events(inst, program.edges)
-    events = traces.thread_events(inst, program.entries, program.points_to, program.def_use)
+    # Events are written once, as every level of the forest and every detection read them.
+    monitors = cut(traces.monitor_events(inst, program.points_to).unionByName(traces.synchronized_calls(inst, program.edges, program.nodes, program.points_to)))
+    calls = cut(traces.call_events(inst, program.edges))
+    events = cut(traces.thread_events(inst, program.entries, program.points_to, program.def_use))
     forest, placed = thread_forest(program, main, call_steps(calls, events, monitors), events)
     place = F.concat("at", "pos").alias("pos")
     name = lambda *c: F.concat_ws("@", "tid", "node_id", F.array_join(F.concat("at", "pos").cast("array<string>"), "."), *c).alias("idx")
     accesses = touched.join(placed, "node_id").select(name("sig", "kind"), "tid", place, "kind", "sig", "loc")
     locked = monitors.join(placed, "node_id").select(name("lk", "kind"), "tid", place, "kind", "lk")
-    return Facts(accesses, locked, forest)
+    return Facts(cut(accesses), cut(locked), forest)

@@ -54,7 +54,7 @@ FACTS = """
         WHEN lca.cv IS NULL THEN cu.s < bp1 AND (cu.j IS NULL OR bp1 < cu.j) AND cu.s < bp2 AND (cu.j IS NULL OR bp2 < cu.j)
         ELSE (cv.j IS NULL OR cu.s < cv.j) AND (cu.j IS NULL OR cv.s < cu.j) END)
 """
-CALLS = "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 101 AS b FROM lineitem WHERE l_orderkey % 397 = 0 AND l_suppkey <> l_partkey % 101),\n r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)"
+CALLS = "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 101 AS b FROM lineitem WHERE l_suppkey <> l_partkey % 101),\n r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)"
 
 
 def query(sql: str, base: str = FACTS) -> Callable[[Query], Query]:
@@ -178,22 +178,23 @@ def seeds(spark, sf_dir):
     return source.event_log(spark, sf_dir)[1].select((F.col("tid") % 101).alias("node"), "tid")
 
 
-@query(", t AS (SELECT user_id % 101 AS node, user_id AS tid FROM events WHERE user_id < 40 UNION SELECT e.b, t.tid FROM t JOIN e ON e.a = t.node) SELECT node, tid FROM t", CALLS)
+@query(", t AS (SELECT user_id % 101 AS node, user_id AS tid FROM events UNION SELECT e.b, t.tid FROM t JOIN e ON e.a = t.node) SELECT node, tid FROM t", CALLS)
 def tid_propagation(spark, sf_dir):
     return graphs.propagate(source.call_edges(spark, sf_dir), seeds(spark, sf_dir))
 
 
-@query(", t AS (SELECT user_id % 101 AS node, user_id AS tid FROM events WHERE user_id < 40 AND user_id % 3 <> 0 UNION SELECT e.b, t.tid FROM t JOIN e ON e.a = t.node) SELECT node, tid FROM t", CALLS)
+@query(", t AS (SELECT user_id % 101 AS node, user_id AS tid FROM events WHERE user_id % 3 <> 0 UNION SELECT e.b, t.tid FROM t JOIN e ON e.a = t.node) SELECT node, tid FROM t", CALLS)
 def tid_removal(spark, sf_dir):
-    all_seeds = seeds(spark, sf_dir)
-    return graphs.withdraw(source.call_edges(spark, sf_dir), all_seeds, all_seeds.filter("tid % 3 = 0"))
+    edges, all_seeds = source.call_edges(spark, sf_dir), seeds(spark, sf_dir)
+    return graphs.withdraw(edges, all_seeds, all_seeds.filter("tid % 3 = 0"), graphs.propagate(edges, all_seeds))
 
 
 @query(""", n AS (SELECT a AS node FROM e UNION SELECT b FROM e), root AS (SELECT node FROM n WHERE node % 10 = 0),
     live AS (SELECT node FROM root UNION SELECT b FROM r JOIN root ON r.a = root.node UNION SELECT b FROM r WHERE r.a IN (SELECT a FROM r WHERE a = b))
-    SELECT node FROM n ANTI JOIN live USING (node)""", CALLS)
+    SELECT node FROM n ANTI JOIN live USING (node)""", CALLS.replace("l_suppkey AS a", "l_suppkey + 1000 AS a"))
 def orphans(spark, sf_dir):
-    edges = source.call_edges(spark, sf_dir)
+    """Suppliers and parts as methods of two layers, so that some have no caller."""
+    edges = source.call_edges(spark, sf_dir).withColumn("a", F.col("a") + 1000)
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     return graphs.orphans(edges, nodes.filter("node % 10 = 0"))
 
@@ -236,8 +237,8 @@ def latency_stats(spark, sf_dir):
 
 
 EDITS = """
-    , old AS (SELECT user_id AS method, max(value) AS body FROM events WHERE event_id % 2 = 0 AND user_id % 7 <> 1 GROUP BY user_id),
-    new AS (SELECT user_id AS method, max(value) AS body FROM events WHERE event_id % 2 = 0 AND user_id % 7 <> 2 AND (event_type <> 'error' OR user_id % 2 = 0) GROUP BY user_id)
+    , old AS (SELECT user_id AS method, max(value) AS body FROM events WHERE user_id % 7 <> 1 GROUP BY user_id),
+    new AS (SELECT user_id AS method, max(value) AS body FROM events WHERE user_id % 7 <> 2 AND (event_type <> 'error' OR user_id % 2 = 0) GROUP BY user_id)
 """
 
 
@@ -256,13 +257,12 @@ def newest_change(spark, sf_dir):
     return scope.newest(ev, ["method"], ["event_id"])
 
 
-def after_edit(spark, sf_dir) -> tuple[source.Facts, source.Facts]:
-    """Before and after an edit: some accesses go, errors become writes."""
+def edit(spark, sf_dir) -> tuple[source.Facts, DataFrame, DataFrame]:
+    """Facts, and an edit of them: accesses that go, and errors that become writes."""
     events, paths = source.event_log(spark, sf_dir)
     before = source.Facts(source.event_accesses(events), source.event_locks(events), paths)
     new = source.event_accesses(events.filter("et = 'error' and idx % 5 = 0").withColumn("et", F.lit("click")))
-    gone = before.accesses.filter("idx % 7 = 3")
-    return before, before.with_(accesses=changes.edited(before.accesses, gone, new))
+    return before, before.accesses.filter("idx % 7 = 3"), new
 
 
 def _after_sql() -> str:
@@ -284,20 +284,24 @@ RACE = "SELECT sig, idx1, idx2, tid1, tid2, kind1, kind2 FROM race"
 
 @query(_both(RACE, _after_sql(), "after", "before"), "")
 def delta_races_added(spark, sf_dir):
-    return detect.race_changes(*after_edit(spark, sf_dir))[0].drop("loc1", "loc2")
+    return detect.race_delta(*edit(spark, sf_dir))[0].drop("loc1", "loc2")
 
 
 @query(_both(RACE, _after_sql(), "before", "after"), "")
 def delta_races_removed(spark, sf_dir):
-    return detect.race_changes(*after_edit(spark, sf_dir))[1].drop("loc1", "loc2")
+    return detect.race_delta(*edit(spark, sf_dir))[1].drop("loc1", "loc2")
 
 
 def after_lock_edit(spark, sf_dir) -> tuple[source.Facts, source.Facts]:
-    before = facts(spark, sf_dir)
-    return before, before.with_(locks=before.locks.filter("not (tid % 11 = 4 and idx % 3 = 0)"))
+    """Some lock events go, and errors of some threads become acquisitions of a ninth lock, released by their next purchase."""
+    events, paths = source.event_log(spark, sf_dir)
+    before = source.Facts(source.event_accesses(events), source.event_locks(events), paths)
+    kept = before.locks.filter("not (tid % 11 = 4 and idx % 3 = 0)")
+    new = events.filter("tid % 5 = 1 and et in ('error', 'purchase')").select("idx", "tid", F.col("idx").alias("pos"), F.when(F.col("et") == "error", "LOCK").otherwise("UNLOCK").alias("kind"), F.lit(8).alias("lk"))
+    return before, before.with_(locks=kept.unionByName(new.select(kept.columns)))
 
 
-LOCK_EDIT = FACTS.replace("WHERE et = 'signup')", "WHERE et = 'signup' AND NOT (tid % 11 = 4 AND idx % 3 = 0))").replace("WHERE et = 'purchase')", "WHERE et = 'purchase' AND NOT (tid % 11 = 4 AND idx % 3 = 0))")
+LOCK_EDIT = FACTS.replace("WHERE et = 'signup')", "WHERE et = 'signup' AND NOT (tid % 11 = 4 AND idx % 3 = 0) UNION ALL SELECT idx, tid, 8 FROM ev WHERE et = 'error' AND tid % 5 = 1)").replace("WHERE et = 'purchase')", "WHERE et = 'purchase' AND NOT (tid % 11 = 4 AND idx % 3 = 0) UNION ALL SELECT idx, tid, 8 FROM ev WHERE et = 'purchase' AND tid % 5 = 1)")
 DEAD = "SELECT DISTINCT tid1, tid2, l1, l2 FROM dead"
 
 

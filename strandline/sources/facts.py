@@ -15,6 +15,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.functions.lineage import cut
+
 
 @dataclass(frozen=True)
 class Facts:
@@ -35,22 +37,23 @@ def event_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(events within their thread's lifetime, threads) of the driver's events table.
 
     Users are threads in a forest of four children each; lifetimes come from the
-    span of a user's events. Only four columns are read.
+    span of a user's events. Only four columns are read. Both tables are written
+    once, as all facts derive from them.
     """
     key = F.expr("cast(substr(props, 7, length(props) - 7) as int)")
     ev0 = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("idx"), F.col("user_id").alias("tid"), F.col("event_type").alias("et"), key.alias("k"))
     span = ev0.groupBy("tid").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"))
     mid = F.expr("(lo + hi) div 2")
     joined = (F.col("tid") % 3 == 0) & (F.col("tid") > 0)
-    threads = span.select(
+    threads = cut(span.select(
         "tid",
         F.when(F.col("tid") > 0, F.expr("(tid - 1) div 4")).alias("ptid"),
         F.when(F.col("tid") % 3 == 1, mid).otherwise(F.col("lo")).alias("s"),
         F.when(joined, mid).alias("j"),
         F.when(joined, mid).otherwise(F.col("hi")).alias("e"),
-    )
+    ))
     life = threads.select("tid", "s", "e")
-    return ev0.join(life, "tid").filter("idx >= s and idx <= e").drop("s", "e"), threads.drop("e")
+    return cut(ev0.join(life, "tid").filter("idx >= s and idx <= e").drop("s", "e")), threads.drop("e")
 
 
 def event_accesses(events: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.operators import changes, deadlocks, explain, locks, races, threads
 from strandline.plans import detect
@@ -160,6 +161,58 @@ def test_incremental_is_full_recomputation_and_readding_restores(spark, seed):
     assert rows(added) == sorted(set(new) - set(old)) and rows(removed) == sorted(set(old) - set(new))
 
 
+def test_delta_in_gives_what_full_detection_gives(spark):
+    f = random_facts(spark, 5)
+    gone = f.accesses.filter("idx % 6 = 1")
+    moved = f.accesses.filter("idx % 12 = 1").withColumn("pos", (60 - F.col("pos")).cast("long"))  # the same identity elsewhere
+    same = f.accesses.filter("idx % 12 = 7")  # comes back as it was
+    new = f.accesses.filter("idx % 5 = 0").withColumn("idx", F.col("idx") + 1000).withColumn("kind", F.lit("WRITE"))
+    coming = moved.unionByName(same).unionByName(new)
+    after = f.with_(accesses=changes.edited(f.accesses, gone, coming))
+    added, removed = detect.race_delta(f, gone, coming)
+    old, fresh = rows(detect.detect_races(f)), rows(detect.detect_races(after))
+    full = lambda x, y: {r[:7] for r in x} - {r[:7] for r in y}
+    assert {r[:7] for r in rows(added)} >= full(fresh, old) and {r[:7] for r in rows(removed)} >= full(old, fresh)
+    assert set(rows(added)) <= set(fresh) and set(rows(removed)) <= set(old)
+
+
+def test_hot_variables_are_paired_in_blocks(spark, monkeypatch):
+    f = random_facts(spark, 2)
+    whole = rows(races.race_candidates(f.accesses))
+    monkeypatch.setattr(races, "BLOCK_WRITES", 2)
+    assert rows(races.race_candidates(f.accesses)) == whole and whole
+
+
+def plain_inside(points, sections):
+    return sorted((i, lk) for i, t, p in points for u, lk, lo, hi in sections if t == u and lo < p < hi)
+
+
+@pytest.mark.parametrize("arrays", [False, True])
+def test_long_and_short_sections_hold_the_same_points(spark, arrays):
+    rng = random.Random(8)
+    at = (lambda n: [n // 1000, n % 1000]) if arrays else (lambda n: n)
+    ends = [sorted(rng.sample(range(200_000), 2)) for _ in range(40)] + [(n, n + rng.choice([1, 2, 70, 5000])) for n in (0, 63, 64, 127, 4096, 99_999)]
+    sections = [(rng.randrange(3), f"l{i}", at(lo), at(hi)) for i, (lo, hi) in enumerate(ends)]
+    points = [(i, rng.randrange(3), at(n)) for i, n in enumerate([rng.randrange(200_000) for _ in range(300)] + [x + d for pair in ends for x in pair for d in (0, 1)])]
+    kind = "array<int>" if arrays else "long"
+    got = locks.inside(spark.createDataFrame(points, f"idx long, tid long, pos {kind}"), spark.createDataFrame(sections, f"tid long, lk string, lo {kind}, hi {kind}"))
+    assert sorted((r.idx, r.lk) for r in got.collect()) == plain_inside(points, sections)
+
+
+def test_sections_of_one_lock_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        events = spark.range(n).select(F.col("id").alias("idx"), F.lit(1).cast("long").alias("tid"), F.col("id").alias("pos"), F.when(F.col("id") % 2 == 0, "LOCK").otherwise("UNLOCK").alias("kind"), F.lit("l").alias("lk"))
+        began = time.perf_counter()
+        assert locks.critical_sections(events).count() == n // 2
+        return time.perf_counter() - began
+
+    seconds(20_000)
+    small, large = seconds(100_000), seconds(800_000)
+    assert large < 8 * small + 4  # eight times the events; quadratic would be 64 times
+
+
 def test_ignored_variables_and_methods(spark):
     f = random_facts(spark, 3)
     left = changes.without_variables(f.accesses, ["v1"])

@@ -87,6 +87,19 @@ def test_a_thread_runs_the_runnable_it_was_given(spark):
     assert {r.sig for r in detect.detect_races(facts).collect()} == {"E.a"}
 
 
+def test_threads_nest_as_deep_as_they_do(spark):
+    """Each body starts the next, twenty deep; the last one and main write one variable."""
+    put = {"declaring": "E", "field": "a", "is_static": True, "uses": [], "def": -1}
+    names = ["main", *[f"run{i}" for i in range(20)]]
+    code = inst(spark, *[(n, 0, "INVOKE", {"target": f"T{i}.start()V", "uses": [3]}) for i, n in enumerate(names[:-1])], ("main", 1, "PUT", put), (names[-1], 0, "PUT", put))
+    who = nodes(spark, *[{"node_id": n, "class": n} for n in names])
+    targets = spark.createDataFrame([(n, 3, f"T{i}", "1") for i, n in enumerate(names[:-1])], "node_id string, value int, obj_type string, obj_id string")
+    entries = spark.createDataFrame([(f"T{i}", f"run{i}") for i in range(20)], "class string, node_id string")
+    facts = facts_of(Program(code, who, spark.createDataFrame([], "caller string, iindex int, callee string"), targets, entries), "main")
+    assert facts.threads.count() == 21
+    assert {r.sig for r in detect.detect_races(facts).collect()} == {"E.a"}
+
+
 def test_inclusion_constraints(spark):
     t = lambda rows, schema: spark.createDataFrame(rows, schema)
     got = points_to(
