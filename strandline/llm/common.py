@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import pickle
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.functions.lineage import shared_folder
+
 #: A side is broadcast whole only with so many rows of a few numbers or digests, about 6 MB.
 MAX_BROADCAST_ROWS = 50_000
 #: Rows of a batch that are Python objects at a time.
@@ -24,14 +25,8 @@ FILTER_BITS = 1 << 26
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+    """The folder that driver and executors share; a temporary one only where none is set and the session is local."""
+    return shared_folder(spark)
 
 
 #: The folders of the settled() calls that are being built, the innermost last.
