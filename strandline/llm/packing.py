@@ -1,8 +1,9 @@
 """Packing documents into token windows by multiway differencing.
 
 A document's tokens are cut into full windows and a rest. Rests are gathered
-into blocks as they come, and each block is spread over windows by the
-Karmarkar-Karp method for many parts: every piece starts as a partition of its
+into blocks as they come; those of a block's first half stay whole, later ones
+lose an eighth at one cut, as small pieces level what whole rests leave uneven.
+Each block is spread over windows by the Karmarkar-Karp method for many parts: every piece starts as a partition of its
 own; the two partitions with the largest imbalance are merged, the fullest parts
 of one with the emptiest of the other, until one is left. If its fullest window
 exceeds the capacity, the number of windows rises and the block is spread again.
@@ -28,9 +29,9 @@ from .tokenise import groups, tokeniser
 
 CAPACITY = 1024
 #: Windows of a block, and the tokens of each that a block leaves free for the imbalance.
-WINDOWS, SLACK = 64, 8
-#: The last rests of a block, this share of its tokens, are cut into pieces of about so many: small pieces level the windows.
-FINE_SHARE, FINE = 0.1, 16
+WINDOWS, SLACK = 128, 8
+#: Of a block's tokens this share, the last one, is of rests that are cut once, at this part of them; shorter ones stay whole.
+CUT_SHARE, CUT_PART, CUT_LEAST = 0.5, 8, 64
 
 
 def difference(sizes: list[int], parts: int) -> list[list[int]]:
@@ -86,9 +87,9 @@ def spread(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 class Packer:
     """Takes documents' tokens, gives rows of pieces: (document, start, ids, window, offset)."""
 
-    def __init__(self, capacity: int = CAPACITY, windows: int = WINDOWS, slack: int = SLACK, fine_share: float = FINE_SHARE, fine: int = FINE):
-        self.capacity, self.full, self.fine = capacity, windows * (capacity - min(slack, capacity - 1)), fine
-        self.coarse = int(self.full * (1 - fine_share))
+    def __init__(self, capacity: int = CAPACITY, windows: int = WINDOWS, slack: int = SLACK, cut_share: float = CUT_SHARE):
+        self.capacity, self.full = capacity, windows * (capacity - min(slack, capacity - 1))
+        self.whole = self.full * (1 - cut_share)
         self.held: list[tuple] = []
         self.tokens = self.windows = 0
 
@@ -100,17 +101,13 @@ class Packer:
         rest = len(ids) - whole
         if not rest:
             return
-        at = whole
-        while at < len(ids):
-            left = self.full - self.tokens
-            size = min(len(ids) - at, left)
-            if self.tokens >= self.coarse:
-                size = min(size, self.fine)
-            self.held.append((doc, at, ids[at : at + size]))
-            self.tokens += size
-            at += size
-            if self.tokens == self.full:
-                yield from self.flush()
+        if self.held and self.tokens + rest > self.full:
+            yield from self.flush()
+        cut = rest // CUT_PART if rest >= CUT_LEAST and self.tokens >= self.whole else 0
+        for begin, end in ((whole, whole + cut), (whole + cut, len(ids))):
+            if begin < end:
+                self.held.append((doc, begin, ids[begin:end]))
+        self.tokens += rest
 
     def flush(self) -> Iterator[tuple]:
         for window in spread([len(x[2]) for x in self.held], self.capacity):

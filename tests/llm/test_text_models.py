@@ -194,6 +194,31 @@ def test_spans_found(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_secrets_are_added_and_failed_numbers_are_not(spark):
+    rng = random.Random(12)
+    run = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    said = lambda i, x: f"words before {i} {x} and after"
+    rows, secrets = [], {}
+    for i in range(200):
+        kind = i % 5
+        value = run(40)
+        text = said(i, {0: f'token = "{value}"', 1: f"api_key: {value}", 2: f"order 12345678901234{i:04d}"}.get(kind, "nothing at all"))
+        if kind == 3:
+            text = said(i, f"mail a{i}@b.de or +1 (212) 555-0{i:03d}")
+        rows.append((i, text))
+        if kind < 2:
+            secrets[i] = f"secret:{text.index(value)}:{text.index(value) + 40}"
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.spans for i, r in got.items() if "secret" in r.spans} == secrets
+    assert all(got[i].n_spans == got[i].n_card for i in range(2, 200, 5)) and all(got[i].n_spans == 0 for i in range(4, 200, 5))
+
+
+def test_a_step_of_maximisation_is_bayes_rule():
+    hit, false, share = np.array([0.9, 0.6]), np.array([0.2, 0.5]), 0.3
+    for v, (yes, no) in {(1, 0): (0.9 * 0.4, 0.2 * 0.5), (1, -1): (0.9, 0.2), (-1, 0): (0.4, 0.5), (-1, -1): (1, 1)}.items():
+        assert abs(pii.posterior([v], hit, false, share)[0] - 0.3 * yes / (0.3 * yes + 0.7 * no)) < 1e-9
+
+
 def test_maximisation_finds_the_reliable_labeler():
     rng = random.Random(1)
     counts = {}
