@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_batches
+from .tokenise import groups as slices
 
 WIDTH, HEIGHT = 64, 32
 MS_A_FRAME = 40
@@ -405,10 +406,11 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                got = [payload(x) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([to_media(p) for _, p in got], pa.binary())], out.names)
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            # Batches are bounded by characters, not by rows: very long texts go out one by one.
+            for part in slices(texts):
+                got = [payload(x) for x in texts[part]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, part.stop - part.start), pa.array([n for n, _ in got], pa.int64()), pa.array([to_media(p) for _, p in got], pa.binary())], out.names)
 
     return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, out)
 

@@ -73,7 +73,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import describe, store
 
-    return describe(store(table(spark, sf_dir, "documents"))).drop("clips")
+    return describe(store(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op3_language_id": op3_language_id, "op4_pii": op4_pii, "op5_media": op5_media, "op6_jaccard_join": op6_jaccard_join, "op7_span_dedup": op7_span_dedup, "op8_token_counts": op8_token_counts, "op9_line_dedup": op9_line_dedup, "op10_packing": op10_packing}
@@ -84,5 +84,17 @@ SQL = {
         g AS (SELECT h, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY h)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM n JOIN g USING (h)
     """,
+    "op6_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+        c AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(c.b, w.doc_id)) AS component_id
+        FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = w.doc_id
+    """,
     "op9_line_dedup": line_dedup_sql(),
 }

@@ -8,7 +8,8 @@ and WORDS words. Spans are hashed and joined over all documents; of equal spans
 the first, by document id and position, stays, and the words that any other one
 covers are removed.
 
-A mapper sends one occurrence of a hash for each of its flushes and rules out
+Equal spans are told by 96 bits of hash: 64 that they are joined by and 32 of
+another one. A mapper sends one occurrence of a hash for each of its flushes and rules out
 the others at once, so a passage that stands in a third of all documents is no
 large group anywhere.
 """
@@ -29,6 +30,8 @@ from .tokenise import groups as slices
 from .tokenise import mix
 
 SENTENCES, WORDS = 3, 20
+#: Characters of text for each reducing task, which holds a bucket of their spans at a time.
+TASK_CHARS = 1 << 26
 #: Sentences of more words are cut after words whose hash is 0 modulo CUT.
 LONG, CUT = 12, 4
 #: Spans of a mapper's flush, and buckets of a reducing task.
@@ -36,6 +39,9 @@ FLUSH, BUCKETS = 1 << 20, 8
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+#: The same for the second hash.
+BASE2 = 0xC2B2AE3D27D4EB4F
+INVERSE2 = pow(BASE2, -1, 1 << 64)
 
 
 def sentence_ends(words: Words) -> np.ndarray:
@@ -51,18 +57,24 @@ def sentence_ends(words: Words) -> np.ndarray:
     return end | (np.repeat(size > LONG, size) & (words.hashes % np.uint64(CUT) == 0)) if n else end
 
 
-def spans(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text: hash, first word and number of words of each span."""
+def rolling(hashes: np.ndarray, base: int, inverse: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of hashes times powers of the base up to each word, and the powers that bring a run's sum back to its start."""
+    with np.errstate(over="ignore"):
+        n = len(hashes)
+        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]))
+        down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, inverse, np.uint64)]))
+        return np.concatenate([[np.uint64(0)], np.cumsum(hashes * up[:-1])]), down
+
+
+def spans(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text: hash, second hash, first word and number of words of each span."""
     if not len(words.begins):
         for _ in words.counts:
-            yield np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            yield np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         return
     ends = np.flatnonzero(sentence_ends(words)) + 1
-    with np.errstate(over="ignore"):
-        n = len(words.begins)
-        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, BASE, np.uint64)]))
-        down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, INVERSE, np.uint64)]))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(words.hashes * up[:-1])])
+    sums, down = rolling(words.hashes, BASE, INVERSE)
+    sums2, down2 = rolling(words.hashes, BASE2, INVERSE2)
     upto = np.searchsorted(ends, np.cumsum(words.counts), "right")
     at = done = 0
     for count, k in zip(words.counts.tolist(), upto.tolist()):
@@ -73,7 +85,8 @@ def spans(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         b, stop = b[fits], e[j[fits]]
         with np.errstate(over="ignore"):
             h = mix((sums[stop] - sums[b]) * down[b] + (stop - b).astype(np.uint64))
-        yield h, b - at, stop - b
+            c = mix((sums2[stop] - sums2[b]) * down2[b]) >> np.uint64(32)
+        yield h, c.astype(np.uint32), b - at, stop - b
         at, done = at + count, k
 
 
@@ -97,18 +110,21 @@ def remove(text: str, first: list[int], length: list[int]) -> tuple[str, int]:
 def repeated(docs: DataFrame, tasks: int | None = None) -> DataFrame:
     """(doc_id, first, length): every span whose words stand earlier too. docs: doc_id bigint, text; no null ids."""
     spark = docs.sparkSession
-    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if tasks is None:
+        chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // TASK_CHARS))
     buckets = tasks * BUCKETS
-    schema = "bucket long, later boolean, h binary, d binary, p binary, n binary"
-    names = ["bucket", "later", "h", "d", "p", "n"]
-
-    def first_of(h: np.ndarray, d: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """The spans by hash, document and place, each once, and which are the first of their hash."""
-        order = np.lexsort((p, d, h))
-        h, d, p, n = h[order], d[order], p[order], n[order]
-        keep = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1]))
-        h, d, p, n = h[keep], d[keep], p[keep], n[keep]
-        return [h, d, p, n], np.append(True, h[1:] != h[:-1])
+    schema = "bucket long, later boolean, h binary, c binary, d binary, p binary, n binary"
+    names = ["bucket", "later", "h", "c", "d", "p", "n"]
+
+    def first_of(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """The spans (h, c, d, p, n) by hashes, document and place, each once, and which are the first of their hashes."""
+        order = np.lexsort(columns[3::-1])
+        columns = [x[order] for x in columns]
+        apart = [x[1:] != x[:-1] for x in columns[:4]]
+        keep = np.append(True, apart[0] | apart[1] | apart[2] | apart[3])
+        columns = [x[keep] for x in columns]
+        return columns, np.append(True, (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -127,7 +143,7 @@ def repeated(docs: DataFrame, tasks: int | None = None) -> DataFrame:
             return pa.RecordBatch.from_arrays(out, names)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            columns, first = first_of(*(np.concatenate([x[i] for x in held]) for i in range(4)))
+            columns, first = first_of(*(np.concatenate([x[i] for x in held]) for i in range(5)))
             yield pack([c[first] for c in columns], False)
             if not first.all():
                 yield pack([c[~first] for c in columns], True)
@@ -135,9 +151,9 @@ def repeated(docs: DataFrame, tasks: int | None = None) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
             for part in slices(texts):
-                for i, (h, p, n) in zip(ids[part], spans(Words(texts[part]))):
+                for i, (h, c, p, n) in zip(ids[part], spans(Words(texts[part]))):
                     if len(h):
-                        held.append((h, np.full(len(h), i, np.int64), p.astype(np.int32), n.astype(np.int32)))
+                        held.append((h, c, np.full(len(h), i, np.int64), p.astype(np.int32), n.astype(np.int32)))
                         count += len(h)
                 if count >= FLUSH:
                     yield from flush()
@@ -146,26 +162,33 @@ def repeated(docs: DataFrame, tasks: int | None = None) -> DataFrame:
             yield from flush()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (np.uint64, np.int64, np.int32, np.int32)
-        parts: dict[int, list] = {}
+        kinds = (np.uint64, np.uint32, np.int64, np.int32, np.int32)
+        now, rows = None, []
 
         def out(d: np.ndarray, p: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(p, pa.int32()), pa.array(n, pa.int32())], ["doc_id", "first", "length"])
 
-        for batch in batches:
-            for b, later, *xs in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if later:
-                    yield out(*(np.frombuffer(x, k) for x, k in zip(xs[1:], kinds[1:])))
-                else:
-                    parts.setdefault(b, []).append(xs)
-        for b in list(parts):
-            rows = parts.pop(b)
+        def close() -> Iterator[pa.RecordBatch]:
             columns, first = first_of(*(np.frombuffer(b"".join(r[i] for r in rows), k) for i, k in enumerate(kinds)))
             if not first.all():
-                yield out(*(c[~first] for c in columns[1:]))
+                yield out(*(c[~first] for c in columns[2:]))
+
+        # Sorted by bucket, so one bucket is held at a time.
+        for batch in batches:
+            for b, later, *xs in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if later:
+                    yield out(*(np.frombuffer(x, k) for x, k in zip(xs[2:], kinds[2:])))
+                    continue
+                if b != now:
+                    if rows:
+                        yield from close()
+                    now, rows = b, []
+                rows.append(xs)
+        if rows:
+            yield from close()
 
     sent = map_batches(docs.select("doc_id", "text"), send, schema)
-    return map_batches(sent.repartition(tasks, "bucket"), join, "doc_id long, first int, length int")
+    return map_batches(sent.repartition(tasks, "bucket").sortWithinPartitions("bucket"), join, "doc_id long, first int, length int")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,9 +196,18 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Of equal spans the one in the smallest doc_id stays, within a document the
     earliest. Rows repeated under one id are one document. Rows without an id
-    are neither compared nor changed. Ids are integers.
+    are neither compared nor changed. Ids of any ordered type; those that are no
+    integers are numbered in their order. An empty table gives no rows.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = docs.schema[id_col].dataType
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if not isinstance(kind, T.IntegralType):
+        # Ranges in order, numbered within: numbers that rise with the ids, without a task that has all.
+        ids = docs.select(F.col("doc_id").alias("id")).filter("id is not null").distinct().repartitionByRange("id").sortWithinPartitions("id")
+        ids = written(ids.select("id", F.monotonically_increasing_id().alias("number")), "ids")
+        numbered = docs.join(ids, F.col("doc_id") == F.col("id"), "left").select(F.col("number").alias("doc_id"), "text")
+        return drop_repeats(numbered).join(ids, F.col("doc_id") == F.col("number"), "left").select(F.col("id").alias("doc_id"), "n_words", "n_removed", "text")
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     gone = repeated(docs.filter("doc_id is not null"))
     gone = written(gone.groupBy("doc_id").agg(F.collect_list("first").alias("first"), F.collect_list("length").alias("length")), "gone")
     marked = mark_members(docs, F.col("doc_id"), gone, F.col("doc_id"))

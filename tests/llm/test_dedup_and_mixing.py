@@ -153,3 +153,10 @@ def test_applied_mix_repeats_rows(spark):
     want = sum(r.copies for r in mixing.mix(table).collect())
     got = mixing.apply_mix(table)
     assert got.count() == want and got.columns == table.columns
+
+
+def test_spans_of_string_ids(spark):
+    passage = " ".join(f"shared{i}" for i in range(30))
+    rows = [("b", f"one two. {passage}. end"), ("a", f"three four. {passage}. stop"), (None, passage), ("c", "alone")]
+    got = {r.doc_id: r.n_removed for r in span_dedup.drop_repeats(docs(spark, rows, "doc_id string, text string")).collect()}
+    assert got["a"] == 0 and got["b"] >= 20 and got["c"] == 0 and got[None] == 0
