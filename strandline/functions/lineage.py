@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,21 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Spark removes an execution's shuffle files at its end, and doesn't wait for the driver to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """For writes: what is written needs its shuffle files no more, and a driver with little to do would keep them for long."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from a Parquet table in the shared folder, which outlives executors.
 
@@ -27,5 +44,6 @@ def cut(df: DataFrame) -> DataFrame:
     joins grow to numbers that take the planner minutes to multiply.
     """
     path = f"{shared_folder(df.sparkSession)}/strandline-cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
