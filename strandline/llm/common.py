@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import pickle
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.functions.lineage import shared_folder
+from strandline.functions.lineage import shared_folder, shuffles_removed
 
 #: A side is broadcast whole only with so many rows of a few numbers or digests, about 6 MB.
 MAX_BROADCAST_ROWS = 50_000
@@ -44,16 +43,11 @@ def written(df: DataFrame, name: str, path: str | None = None, few: bool = False
     """
     spark = df.sparkSession
     path = path or fresh_dir(spark, name)
-    (df.hint("rebalance") if few else df).write.mode("overwrite").parquet(path)
+    with shuffles_removed(spark):
+        (df.hint("rebalance") if few else df).write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def freed(spark: SparkSession) -> None:
-    """Shuffle files go when the driver collects its garbage; a driver with little to do would keep them for long."""
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
-
-
 def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """What build returns, as a written table; all that it wrote on the way is deleted."""
     result, folder = fresh_dir(spark, name), fresh_dir(spark, f"{name}-work")
@@ -64,7 +58,6 @@ def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> D
         _scratch.pop()
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    freed(spark)
     return out
 
 

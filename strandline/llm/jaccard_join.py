@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shared, collected_bits, freed, join_counted, map_batches, possible_members, settled, without, written
+from .common import Shared, collected_bits, join_counted, map_batches, possible_members, settled, without, written
 from .components import components
 from .shingles import SIZE, shingle_sets
 from .tokenise import groups as slices
@@ -594,15 +594,12 @@ def _near_duplicates(docs: DataFrame, size: int, crowd: int) -> DataFrame:
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-totals.shingles // 4 // TASK_POSTINGS))
     buckets = tasks * BUCKETS
     met = [written(meetings(postings(sets, buckets, crowd), tasks, crowd, False), "meetings", few=True)]
-    freed(spark)
     hot = met[0].filter(f"kind = {CROWDED}").select(F.col("a").alias("shingle"))
     if not hot.isEmpty():
         asked = marks(hot)
         more = frequent(whole_counts(sets, buckets, asked), tasks, crowd)
         last = marks(hot.unionByName(more))
-        freed(spark)
         met.append(written(meetings(postings(sets, buckets, crowd, asked, last), tasks, crowd, True), "meetings", few=True))
-        freed(spark)
     pairs, crowds = candidate_pairs(met, nodes, sets)
     hubs = hubs_of(crowds)
 
@@ -611,7 +608,6 @@ def _near_duplicates(docs: DataFrame, size: int, crowd: int) -> DataFrame:
     near = both.groupBy("a").agg(F.min("b").alias("b")).select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("spoke"))
     stars = near.unionByName(hubs.filter("hub <> node").select("hub", F.col("node").alias("spoke"))).distinct()
     links = written(star_links(written(stars, "near"), sets, tasks), "links", few=True)
-    freed(spark)
     found = components(links)
 
     # Then what is left between components.
