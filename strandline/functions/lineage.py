@@ -27,7 +27,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 @contextmanager
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """For writes: what is written needs its shuffle files no more, and a driver with little to do would keep them for long."""
+    """For steps whose results are written: they need their shuffle files no more, and a driver with little to do would keep them for long."""
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -44,6 +44,5 @@ def cut(df: DataFrame) -> DataFrame:
     joins grow to numbers that take the planner minutes to multiply.
     """
     path = f"{shared_folder(df.sparkSession)}/strandline-cut-{uuid.uuid4().hex}"
-    with shuffles_removed(df.sparkSession):
-        df.write.parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
