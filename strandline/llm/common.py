@@ -19,6 +19,8 @@ from strandline.functions.lineage import shared_folder, shuffles_removed
 MAX_BROADCAST_ROWS = 50_000
 #: Rows of a batch that are Python objects at a time.
 BATCH_ROWS = 500
+#: Bytes of the batches that go to a worker at a time; a longer row goes alone.
+BATCH_BYTES, ARROW_BYTES, SPARKS_OWN = 1 << 23, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: Bits of the prefilter that `possible_members` broadcasts: 8 MB at any input size.
 FILTER_BITS = 1 << 26
 
@@ -43,8 +45,7 @@ def written(df: DataFrame, name: str, path: str | None = None, few: bool = False
     """
     spark = df.sparkSession
     path = path or fresh_dir(spark, name)
-    with shuffles_removed(spark):
-        (df.hint("rebalance") if few else df).write.mode("overwrite").parquet(path)
+    (df.hint("rebalance") if few else df).write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,7 +54,8 @@ def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> D
     result, folder = fresh_dir(spark, name), fresh_dir(spark, f"{name}-work")
     _scratch.append(folder)
     try:
-        out = written(build(), name, result)
+        with shuffles_removed(spark):
+            out = written(build(), name, result)
     finally:
         _scratch.pop()
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -62,7 +64,15 @@ def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> D
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow with small batches, whose worker gives back what memory a task has freed."""
+    """mapInArrow with small batches, whose worker gives back what memory a task has freed.
+
+    The session's Arrow batches are bounded to BATCH_BYTES, whatever their rows,
+    which holds for a JVM's buffers as well as for its worker's; a bound that the
+    session was given stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_BYTES) == SPARKS_OWN:
+        conf.set(ARROW_BYTES, f"{BATCH_BYTES}b")
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ctypes
