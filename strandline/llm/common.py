@@ -21,6 +21,8 @@ MAX_BROADCAST_ROWS = 50_000
 BATCH_ROWS = 500
 #: Bytes of the batches that go to a worker at a time; a longer row goes alone.
 BATCH_BYTES, ARROW_BYTES, SPARKS_OWN = 1 << 23, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+#: glibc's number of the parameter.
+M_MMAP_THRESHOLD = -3
 #: Bits of the prefilter that `possible_members` broadcasts: 8 MB at any input size.
 FILTER_BITS = 1 << 26
 
@@ -77,17 +79,22 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ctypes
 
+        try:
+            libc = ctypes.CDLL("libc.so.6")
+            # Large arrays lie in maps of their own, which go back as soon as they are freed.
+            libc.mallopt(M_MMAP_THRESHOLD, 1 << 20)
+            pa.set_memory_pool(pa.system_memory_pool())
+        except (OSError, AttributeError):  # another C library; freed memory then stays with the worker
+            libc = None
+
         def pieces() -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, BATCH_ROWS):
                     yield batch.slice(at, BATCH_ROWS)
 
         yield from run(pieces())
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library; memory then stays with the worker
-            pass
+        if libc:
+            libc.malloc_trim(0)
 
     return df.mapInArrow(bounded, schema)
 

@@ -25,7 +25,7 @@ STATE_CONF = {
     f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true",
     f"{_STATE}.rocksdb.boundedMemoryUsage": "true",
-    f"{_STATE}.rocksdb.maxMemoryUsageMB": "128",
+    f"{_STATE}.rocksdb.maxMemoryUsageMB": "48",
     f"{_STATE}.rocksdb.writeBufferSizeMB": "4",
     f"{_STATE}.rocksdb.allowFAllocate": "false",
     f"{_STATE}.maintenanceInterval": "10s",

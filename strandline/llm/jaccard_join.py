@@ -41,10 +41,10 @@ from .tokenise import groups as slices
 
 #: More groups than this at one shingle are a crowd.
 CROWD = 32
-#: Bits that mark crowded shingles: 8 MB at any input size. Further ones make the order less apt, not wrong.
+#: Bits that mark crowded shingles, 64 for each up to 8 MB. Beyond that marks are shared, and the order is less apt, not wrong.
 MARK_BITS = 1 << 26
 #: Postings of a mapper's flush, and of a reducing task on average; buckets a reducing task; pairs made at once.
-FLUSH, TASK_POSTINGS, BUCKETS, PAIRS = 1 << 19, 1 << 21, 8, 1 << 18
+FLUSH, TASK_POSTINGS, BUCKETS, PAIRS = 1 << 18, 1 << 21, 8, 1 << 18
 #: Bytes of a shingle's key and of a group in a posting.
 KEY, GROUP = 5, 6
 #: Sets of a crowd's block, and the bytes of its shingles on average.
@@ -111,6 +111,7 @@ NONE = Marks()
 
 def marks(shingles: DataFrame, bits: int = MARK_BITS) -> Marks:
     """Of a column `shingle` of keys."""
+    bits = min(bits, max(1 << 15, 1 << (64 * shingles.count()).bit_length()))
     return Marks(collected_bits(shingles.select((F.col("shingle").bitwiseAND(bits - 1)).alias("slot")), bits))
 
 
@@ -598,7 +599,7 @@ def _near_duplicates(docs: DataFrame, size: int, crowd: int) -> DataFrame:
     if not hot.isEmpty():
         asked = marks(hot)
         more = frequent(whole_counts(sets, buckets, asked), tasks, crowd)
-        last = marks(hot.unionByName(more))
+        last = marks(written(hot.unionByName(more), "last", few=True))
         met.append(written(meetings(postings(sets, buckets, crowd, asked, last), tasks, crowd, True), "meetings", few=True))
     pairs, crowds = candidate_pairs(met, nodes, sets)
     hubs = hubs_of(crowds)
