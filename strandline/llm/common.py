@@ -19,8 +19,9 @@ from strandline.functions.lineage import shared_folder, shuffles_removed
 MAX_BROADCAST_ROWS = 50_000
 #: Rows of a batch that are Python objects at a time.
 BATCH_ROWS = 500
-#: Bytes of the batches that go to a worker at a time; a longer row goes alone.
-BATCH_BYTES, ARROW_BYTES, SPARKS_OWN = 1 << 23, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+#: Bytes of the batches that go to a worker at a time; a longer row goes alone. Arrow's allocator keeps chunks of 16 MB for buffers
+#: near that size, for each of a JVM's threads, so batches are far smaller.
+BATCH_BYTES, ARROW_BYTES, SPARKS_OWN = 1 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: glibc's number of the parameter.
 M_MMAP_THRESHOLD = -3
 #: Bits of the prefilter that `possible_members` broadcasts: 8 MB at any input size.
@@ -40,14 +41,15 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{_scratch[-1] if _scratch else shared_dir(spark)}/strandline-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, path: str | None = None, few: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None, few: bool = False, plain: bool = False) -> DataFrame:
     """The same rows from Parquet in the shared folder: they outlive executors, and lineage ends here.
 
     few: there are little data for each task, so they are gathered into files of a useful size.
+    plain: the data are hashes, which no compression makes smaller.
     """
     spark = df.sparkSession
     path = path or fresh_dir(spark, name)
-    (df.hint("rebalance") if few else df).write.mode("overwrite").parquet(path)
+    (df.hint("rebalance") if few else df).write.mode("overwrite").parquet(path, compression="none" if plain else None)
     return spark.read.schema(df.schema).parquet(path)
 
 

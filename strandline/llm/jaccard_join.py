@@ -584,7 +584,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _near_duplicates(docs: DataFrame, size: int, crowd: int) -> DataFrame:
     spark = docs.sparkSession
-    sets = written(describe(docs, size), "sets")
+    sets = written(describe(docs, size), "sets", plain=True)
     nodes = sets.filter("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("leader"), F.min("n").alias("n"), F.min("gid").alias("gid"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes, "nodes")
     totals = nodes.agg(F.sum("n").alias("shingles"), F.sum("copies").alias("docs")).first()
