@@ -58,7 +58,7 @@ class StreamingDedup:
             earlier = None
         locator = F.struct(F.lit(0 if earlier is None else earlier + 1).alias("landing"), F.monotonically_increasing_id().alias("row"))
         landed = rows.select("doc_id", "digest", locator.alias("locator"), "norm")
-        landed.write.mode("append").parquet(f"{self.root}/landed")
+        landed.write.mode("append").parquet(f"{self.root}/landed", compression="zstd")
         conf = self.spark.conf
         before = {k: conf.get(k, None) for k in STATE_CONF}
         for k, v in STATE_CONF.items():
