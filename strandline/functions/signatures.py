@@ -27,7 +27,8 @@ def line_sig(declaring: Column, line: Column) -> Column:
 
 
 def lock_sig(obj_type: Column, obj: Column) -> Column:
-    return F.concat_ws(".", obj_type, obj)
+    """Null where the object isn't known, so that two unknown ones are no common lock."""
+    return F.concat(obj_type, F.lit("."), obj)
 
 
 def race_sig(sig: Column, is_array: Column) -> Column:

@@ -16,6 +16,19 @@ def access_counts(accesses: DataFrame) -> DataFrame:
     return accesses.groupBy("sig", "tid").agg(F.count_if(F.col("kind") == "READ").alias("reads"), F.count_if(F.col("kind") == "WRITE").alias("writes"))
 
 
+def method_counts(events: DataFrame) -> DataFrame:
+    """sig, tid, read_methods, write_methods: the distinct methods (node_id) by which a thread touches a variable."""
+    of = lambda kind: F.countDistinct(F.when(F.col("kind") == kind, F.col("node_id")))
+    return events.groupBy("sig", "tid").agg(of("READ").alias("read_methods"), of("WRITE").alias("write_methods"))
+
+
+def counts_after(counts: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
+    """access_counts after an edit, from those before it and the accesses that go and come; groups that come to nothing fall away."""
+    less = access_counts(removed).withColumns({c: -F.col(c) for c in ("reads", "writes")})
+    every = counts.unionByName(less).unionByName(access_counts(added))
+    return every.groupBy("sig", "tid").agg(F.sum("reads").alias("reads"), F.sum("writes").alias("writes")).filter("reads > 0 or writes > 0")
+
+
 def _shared(accesses: DataFrame) -> DataFrame:
     per_thread = access_counts(accesses)
     return per_thread.groupBy("sig").agg(F.count(F.lit(1)).alias("n_threads"), F.sum("writes").alias("n_writes")).filter("n_threads > 1 and n_writes > 0")

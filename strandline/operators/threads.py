@@ -33,6 +33,11 @@ def descendants(paths: DataFrame) -> DataFrame:
     return each.filter("anc <> tid").select("anc", F.col("tid").alias("desc"), F.expr("path[i + 1]").alias("child"))
 
 
+def under(paths: DataFrame, tids: DataFrame) -> DataFrame:
+    """Distinct (tid) of these threads and all below them."""
+    return paths.select("tid", F.explode("path").alias("_anc")).join(tids.select(F.col("tid").alias("_anc")), "_anc", "left_semi").select("tid").distinct()
+
+
 def depths(paths: DataFrame) -> DataFrame:
     return paths.select("tid", (F.size("path") - 1).alias("depth"))
 

@@ -178,9 +178,10 @@ def subclasses(supertype: DataFrame, roots: list[str]) -> DataFrame:
     return up.filter(F.col("b").isin(*roots)).select(F.col("a").alias("class")).unionByName(own).distinct()
 
 
-def lines(inst: DataFrame) -> DataFrame:
-    """node_id, iindex, line."""
-    return inst.select("node_id", "iindex", "line")
+def located(events: DataFrame, inst: DataFrame) -> DataFrame:
+    """events (node_id, pos, ...) with the source line of their instruction, null if it isn't known."""
+    lines = inst.select(F.col("node_id").alias("_n"), F.col("iindex").alias("_i"), "line")
+    return events.join(lines, (F.col("node_id") == F.col("_n")) & (F.col("pos")[0] == F.col("_i")), "left").drop("_n", "_i")
 
 
 def methods_by_class(nodes: DataFrame) -> DataFrame:
@@ -188,9 +189,9 @@ def methods_by_class(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("class").agg(F.array_sort(F.collect_set("method")).alias("methods"))
 
 
-def replace_trace(events: DataFrame, new: DataFrame) -> DataFrame:
-    """events with the methods that `new` covers replaced."""
-    return events.join(new.select("node_id").distinct(), "node_id", "left_anti").unionByName(new)
+def replace_trace(events: DataFrame, new: DataFrame, methods: DataFrame | None = None) -> DataFrame:
+    """events with those of methods (node_id) replaced by new ones; a method without new ones has none. Without methods, those that `new` covers."""
+    return delete_traces(events, (new if methods is None else methods).select("node_id").distinct()).unionByName(new)
 
 
 def delete_traces(events: DataFrame, nodes: DataFrame) -> DataFrame:

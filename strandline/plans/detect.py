@@ -60,22 +60,46 @@ def detect(facts: Facts, distance: int | None = None, gated: bool = False) -> De
     return Detection(detect_races(facts, distance), detect_deadlocks(facts, gated))
 
 
+def interest_variables(facts: Facts, locks_changed: DataFrame, threads_changed: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """Distinct (sig) accessed under a changed lock (lk), or in a changed thread (tid) or one below it."""
+    paths = threads.thread_paths(facts.threads) if paths is None else paths
+    under = locks.locksets(facts.accesses, locks.critical_sections(facts.locks)).join(locks_changed.select("lk"), "lk", "left_semi")
+    one = facts.accesses.join(under, "idx", "left_semi").select("sig")
+    two = facts.accesses.join(threads.under(paths, threads_changed), "tid", "left_semi").select("sig")
+    return one.unionByName(two).distinct()
+
+
+def changed_threads(before: Facts, after: Facts, old_paths: DataFrame, new_paths: DataFrame) -> DataFrame | None:
+    """Distinct (tid) of threads whose start, join or parent changed, and of all below them, as their order hangs on it; None if none can have."""
+    if before.threads is after.threads:
+        return None
+    tids = cut(changes.interest(before.threads, after.threads, "tid"))
+    return threads.under(old_paths, tids).unionByName(threads.under(new_paths, tids)).distinct()
+
+
+def _both_paths(before: Facts, after: Facts) -> tuple[DataFrame, DataFrame]:
+    old = threads.thread_paths(before.threads)
+    return old, old if after.threads is before.threads else threads.thread_paths(after.threads)
+
+
 def race_changes(before: Facts, after: Facts) -> tuple[DataFrame, DataFrame]:
     """(added, removed) races between two states; only variables whose accesses changed are judged again.
 
-    Locks and threads are taken from `after`; if they differ, every variable of a
-    changed thread counts as changed.
+    If locks or threads aren't the same table, every variable of a thread counts as
+    changed whose locks differ, or whose start, join or parent, or an ancestor's, do.
     """
     old_accesses, new_accesses = cut(before.accesses), cut(after.accesses)
     keys = changes.interest(old_accesses, new_accesses, "sig")
-    if before.locks is not after.locks or before.threads is not after.threads:
-        tids = changes.interest(before.locks, after.locks, "tid").unionByName(changes.interest(before.threads, after.threads, "tid")).distinct()
-        touched = old_accesses.unionByName(new_accesses).join(tids, "tid", "left_semi").select("sig")
+    old_paths, new_paths = _both_paths(before, after)
+    moved = changed_threads(before, after, old_paths, new_paths)
+    if before.locks is not after.locks:
+        tids = changes.interest(before.locks, after.locks, "tid")
+        moved = tids if moved is None else moved.unionByName(tids)
+    if moved is not None:
+        touched = old_accesses.unionByName(new_accesses).join(moved.distinct(), "tid", "left_semi").select("sig")
         keys = keys.unionByName(touched).distinct()
     keys = cut(keys)
     old, new = (f.with_(accesses=changes.only(a, keys, "sig")) for f, a in ((before, old_accesses), (after, new_accesses)))
-    old_paths = threads.thread_paths(before.threads)
-    new_paths = old_paths if after.threads is before.threads else threads.thread_paths(after.threads)
     return changes.difference(detect_races(old, paths=old_paths), detect_races(new, paths=new_paths))
 
 
@@ -105,9 +129,11 @@ def race_delta(before: Facts, removed: DataFrame, added: DataFrame, paths: DataF
 
 
 def deadlock_changes(before: Facts, after: Facts, gated: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(added, removed) deadlocks; only threads that share a lock with a changed thread are judged again."""
+    """(added, removed) deadlocks; only threads that share a lock with a changed thread are judged again. Threads below one whose start or join changed count as changed."""
     old_locks, new_locks = cut(before.locks), cut(after.locks)
     tids = changes.interest(old_locks, new_locks, "tid")
+    moved = changed_threads(before, after, *_both_paths(before, after)) if before.threads is not after.threads else None
+    tids = tids if moved is None else tids.unionByName(moved).distinct()
     every = old_locks.unionByName(new_locks)
     concerned = every.join(tids, "tid", "left_semi").select("lk").distinct()
     near = cut(every.join(concerned, "lk", "left_semi").select("tid").distinct())

@@ -12,14 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import changes, deadlocks, explain, graphs, locks, races, threads
-from strandline.plans import detect
+from strandline.plans import detect, registry
+from strandline.plans.registry import QUERIES, SQL, Query  # noqa: F401
 from strandline.sources import facts as source
 from strandline.sources import scope
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
 FACTS = """
     WITH RECURSIVE ev0 AS (SELECT event_id AS idx, user_id AS tid, event_type AS et, CAST(substr(props, 7, length(props) - 7) AS INTEGER) AS k FROM events),
     span AS (SELECT tid, min(idx) AS lo, max(idx) AS hi, CAST(floor((min(idx) + max(idx)) / 2) AS BIGINT) AS mid FROM ev0 GROUP BY tid),
@@ -58,12 +55,7 @@ CALLS = "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 101 AS
 
 
 def query(sql: str, base: str = FACTS) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        SQL[f.__name__] = base + sql
-        return f
-
-    return add
+    return registry.query(sql, base)
 
 
 def facts(spark: SparkSession, sf_dir: str) -> source.Facts:

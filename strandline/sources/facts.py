@@ -85,3 +85,47 @@ def excluded(df: DataFrame, column: Column, patterns: list[str]) -> DataFrame:
     if not patterns:
         return df
     return df.filter(F.coalesce(~column.rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(True)))
+
+
+@dataclass(frozen=True)
+class CodeTables:
+    """inst, nodes, edges, points_to as in operators.traces."""
+
+    inst: DataFrame
+    nodes: DataFrame
+    edges: DataFrame
+    points_to: DataFrame
+
+
+def event_code(spark: SparkSession, sf_dir: str) -> CodeTables:
+    """The events table read as a program: a user is a method, each event an instruction of it.
+
+    Events of a user, in the order of their ids, are the method's instructions;
+    event type and key name the kind, the values used, and what is called.
+    """
+    key = F.expr("cast(substr(props, 7, length(props) - 7) as int)")
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", key.alias("k"))
+    k, et = F.col("k"), F.col("event_type")
+    kind = F.expr("case event_type when 'view' then if(k % 3 = 0, 'ALOAD', 'GET') when 'click' then if(k % 3 = 0, 'ASTORE', 'PUT') when 'signup' then 'ENTER' when 'purchase' then 'EXIT' else 'INVOKE' end")
+    target = F.expr("""case when event_type <> 'error' then null else case k % 8
+        when 0 then 'Ljava/lang/Thread.start()V' when 1 then 'Ljava/lang/Thread.join()V' when 2 then 'Ljava/util/concurrent/Executor.execute(Ljava/lang/Runnable;)V'
+        when 3 then 'Ljava/lang/Thread.<init>(Ljava/lang/Runnable;)V' when 4 then 'Ljava/util/concurrent/Future.get()Ljava/lang/Object;' else concat('Lapp/C.f', k, '()V') end end""")
+    text = F.when(et == "error", F.concat(F.lit("invoke "), target)).otherwise(F.concat_ws(" ", F.when(et.isin("signup", "purchase"), "monitor").when(et == "view", "getfield").otherwise("store"), k.cast("string")))
+    node = lambda c: F.concat(F.lit("m"), c)
+    inst = cut(ev.select(
+        node("user_id").alias("node_id"), F.col("event_id").alias("iindex"), kind.alias("kind"), (F.col("event_id") % 1000).alias("line"), (k % 5 == 2).alias("in_loop"), (F.col("event_id") % 11 == 0).alias("in_catch"),
+        (k % 7).alias("def"), F.array(k % 5, k % 4).alias("uses"), target.alias("target"), F.concat(F.lit("Lapp/D"), k % 6).alias("declaring"), F.concat(F.lit("f"), k % 10).alias("field"), (k % 4 == 1).alias("is_static"), text.alias("text"), k.alias("k"),
+    ))
+    u = F.col("user_id")
+    users = ev.select("user_id").distinct()
+    nodes = cut(users.select(
+        "user_id", node("user_id").alias("node_id"), F.concat(F.lit("Lapp/C$"), u % 40).alias("class"),
+        F.when(u % 5 == 0, "run()V").when(u % 5 == 1, "main([Ljava/lang/String;)V").when(u % 5 == 2, "call()Ljava/lang/Object;").otherwise(F.concat(F.lit("f"), u, F.lit("()V"))).alias("method"),
+        F.when(u % 4 == 3, "Primordial").otherwise("Application").alias("loader"), (u % 6 == 1).alias("is_sync"), (u % 9 == 4).alias("is_static"), (u % 13 == 5).alias("is_init"), (u % 17 == 6).alias("is_clinit"),
+        (u % 10 != 5).alias("is_thread"), (u % 3 != 0).alias("is_callable"), u.alias("graph_node_id"),
+    ))
+    edges = ev.filter("event_type = 'error'").select(node("user_id").alias("caller"), F.col("event_id").alias("iindex"), node(k).alias("callee")).join(nodes.select(F.col("node_id").alias("callee")), "callee").select("caller", "iindex", "callee")
+    values = users.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(6)))).withColumn("o", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("n", (u * 3 + F.col("v") + 5 * F.col("o")) % 24)
+    kept = values.filter((F.col("o") == 0) & ((u + F.col("v")) % 4 != 0) | (F.col("o") == 1) & ((u + F.col("v")) % 5 == 0))
+    points_to = kept.select(node("user_id").alias("node_id"), F.col("v").alias("value"), F.when(F.col("n") % 5 == 0, "Ljava/lang/Thread").otherwise(F.concat(F.lit("Lapp/C$"), F.col("n"))).alias("obj_type"), F.concat(F.lit("o"), F.col("n")).alias("obj_id"))
+    return CodeTables(inst, nodes, cut(edges), cut(points_to))
