@@ -17,7 +17,8 @@ running target; within a size, documents get the copies by a hash of their id.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,8 +27,10 @@ from pyspark.sql import Window as W
 
 from .common import join_counted, written
 
-#: The driver holds a few numbers for each source; more sources than this are refused.
-MAX_SOURCES = 100_000
+#: The driver holds a few numbers for each of so many sources, with names of so many bytes in all; beyond that they stay in tables.
+MAX_SOURCES, MAX_NAMES = 10_000, 4_000_000
+#: Weights of the sources in their order, repeating.
+WEIGHTS = (5.0, 2.0, 1.0)
 #: Documents of one source and size are ranked in buckets of about so many.
 BUCKET = 500
 
@@ -36,11 +39,6 @@ def words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def weigh(n: int) -> list[float]:
-    """5, 2, 1, repeating."""
-    return [(5.0, 2.0, 1.0)[i % 3] for i in range(n)]
-
-
 def water_fill(sizes: list[int], weights: list[float], cap: float) -> list[float]:
     """Shares of the whole by weight, none above cap times its size; the excess goes to the others by weight."""
     targets, open_, rest = [0.0] * len(sizes), [i for i, s in enumerate(sizes)], float(sum(sizes))
@@ -70,7 +68,7 @@ def solve(classes: DataFrame, targets: dict[int, float], totals: dict[int, int],
             else:
                 state[s] = [0.0, -60.0, top]
     todo = {s for s, (x, lo, hi) in state.items() if lo < hi}
-    schema = "s int, x double"
+    schema = "s long, x double"
     for _ in range(steps):
         if not todo:
             break
@@ -109,33 +107,98 @@ def _round_source(cap: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     return walk
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, weights: Callable[[int], list[float]] = weigh, max_sources: int = MAX_SOURCES) -> DataFrame:
+def numbered(sources: DataFrame) -> DataFrame:
+    """sources with s: their number by code point, null last. Ranges are sorted one by one; only the ranges' lengths reach the driver."""
+    ordered = sources.withColumn("_null", F.col("source").isNull()).repartitionByRange("_null", "source").sortWithinPartitions("_null", "source")
+    # The id is the partition's number in the upper bits and the row's place in it in the lower 33.
+    placed = written(ordered.drop("_null").withColumn("_id", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_id", 33)
+    before, starts = 0, []
+    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():
+        starts.append((r.part, before))
+        before += r["count"]
+    offsets = F.broadcast(sources.sparkSession.createDataFrame(starts, "_part long, _start long"))
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_part", part).join(offsets, "_part").withColumn("s", F.col("_start") + place).drop("_id", "_part", "_start")
+
+
+def filled(sources: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
+    """sources (s, total) with target, as water_fill has it. Every round closes the sources that the level overflows, by sums over classes of weight."""
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("s") % len(weights) + 1).cast("int"))
+    table = written(sources.withColumn("_w", weight), "weighed")
+    level, closed = math.inf, -1
+    while True:
+        over = (F.col("total") * cap < F.col("_w") * level) if closed >= 0 else F.lit(False)
+        sums = table.groupBy("_w").agg(F.sum("total").alias("all"), F.sum(F.when(over, F.col("total")).otherwise(0)).alias("full"), F.count_if(over).alias("n"), F.count_if(~over).alias("open")).orderBy("_w").collect()
+        n, rest = sum(r.n for r in sums), sum(r.all for r in sums) - cap * sum(r.full for r in sums)
+        share = sum(r.open * r["_w"] for r in sums)
+        if n == closed or not share:
+            break
+        level, closed = rest / share, n
+    over = F.col("total") * cap < F.col("_w") * level
+    return table.withColumn("target", F.when(over, F.col("total") * cap).otherwise(F.col("_w") * level)).drop("_w")
+
+
+def solve_many(classes: DataFrame, sources: DataFrame, cap: float, steps: int = 60, near: float = 1e-6) -> DataFrame:
+    """s, x: what `solve` finds, with the sources' brackets in a table that each Newton step writes anew."""
+    top = math.log(cap)
+    full = F.col("target") >= F.col("total") * (cap * (1 - 1e-12))
+    start = sources.filter("total > 0").select("s", "target", F.when(full, top).otherwise(0.0).alias("x"), F.when(full, top).otherwise(-60.0).alias("lo"), F.lit(top).alias("hi"))
+    found, state = [start.filter("lo >= hi").select("s", "x")], written(start.filter("lo < hi"), "state")
+    for _ in range(steps):
+        if state.isEmpty():
+            break
+        rate = F.least(F.lit(cap), F.exp(F.col("x") * F.col("size")))
+        slope = F.when(F.col("x") * F.col("size") < top, rate * F.col("size") * F.col("size")).otherwise(0.0)
+        exact = lambda c: F.sum(c.cast("decimal(38,6)")).cast("double")
+        sums = classes.join(state, "s").groupBy("s", "target", "x", "lo", "hi").agg(exact(rate * F.col("size") * F.col("n")).alias("f"), exact(slope * F.col("n")).alias("g"))
+        off, met = F.col("f") - F.col("target"), F.abs(F.col("f") - F.col("target")) <= near * F.greatest(F.lit(1.0), "target")
+        known = sums.select("s", "target", met.alias("met"), F.col("x").alias("at"), F.when(off < 0, F.col("x")).otherwise(F.col("lo")).alias("lo"), F.when(off < 0, F.col("hi")).otherwise(F.col("x")).alias("hi"), F.when(F.col("g") > 0, F.col("x") - off / F.col("g")).alias("step"))
+        inside = (F.col("lo") < F.col("step")) & (F.col("step") < F.col("hi"))
+        x = F.when(F.col("met"), F.col("at")).when(inside, F.col("step")).otherwise((F.col("lo") + F.col("hi")) / 2)
+        now = written(known.select("s", "target", x.alias("x"), "lo", "hi", "met"), "state")
+        found.append(now.filter("met").select("s", "x"))
+        state = now.filter("not met").drop("met")
+    return written(reduce(DataFrame.unionByName, [*found, state.select("s", "x")]), "multipliers")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, weights: Sequence[float] = WEIGHTS, max_sources: int = MAX_SOURCES) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies, rate.
 
     Sources are ordered by code point, null last and a source of its own;
-    weights(n) gives their weights. A document without words has size 0 and takes
-    none (copies 1). Repeated rows count each. An empty table gives no rows.
+    weights, repeating, are theirs in that order. A document without words has
+    size 0 and takes none (copies 1). Repeated rows count each. An empty table
+    gives no rows. Any number of sources: few are held on the driver, more than
+    max_sources (or than MAX_NAMES bytes of names) in tables, by the same rules.
     """
     spark = docs.sparkSession
     sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size")), "sized")
-    counts = sized.groupBy("source").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n_rows")).limit(max_sources + 1).collect()
-    if len(counts) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    counts.sort(key=lambda r: (r.source is None, r.source or ""))
-    totals = {i: int(r.total) for i, r in enumerate(counts)}
-    targets = dict(enumerate(water_fill(list(totals.values()), weights(len(counts)), cap)))
-    known = spark.createDataFrame([(i, r.source, totals[i], float(targets[i])) for i, r in enumerate(counts)], "s int, source string, source_size long, target double")
-    rows = sized.join(F.broadcast(known.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    sources = written(sized.groupBy("source").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n_rows")), "sources", few=True)
+    n_sources, n_bytes, n_rows = sources.agg(F.count(F.lit(1)), F.sum(F.octet_length("source")), F.sum("n_rows")).first()
+    few = n_sources <= max_sources and (n_bytes or 0) <= MAX_NAMES
+    if few:
+        counts = sorted(sources.collect(), key=lambda r: (r.source is None, r.source or ""))
+        totals = {i: int(r.total) for i, r in enumerate(counts)}
+        targets = dict(enumerate(water_fill(list(totals.values()), [weights[i % len(weights)] for i in totals], cap)))
+        known = spark.createDataFrame([(i, r.source, totals[i], float(targets[i])) for i, r in enumerate(counts)], "s long, source string, source_size long, target double")
+        rows = sized.join(F.broadcast(known.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    else:
+        known = written(filled(numbered(sources), weights, cap), "targets")
+        key = F.struct(F.col("source").isNull().alias("none"), F.sha2(F.coalesce("source", F.lit("")), 256).alias("name")).alias("_key")
+        keyed = known.select(key, "s", F.col("total").alias("source_size"), "target", F.col("n_rows").alias("_rows"))
+        rows = join_counted(sized.select("*", key), keyed, ["_key"], "_rows", n_rows or 0).drop("_key", "_rows")
     classes = written(rows.groupBy("s", "size").agg(F.count(F.lit(1)).alias("n")), "classes")
-    found = solve(classes, targets, totals, cap)
-    multipliers = F.broadcast(spark.createDataFrame(sorted(found.items()), "s int, x double"))
+    if few:
+        multipliers = F.broadcast(spark.createDataFrame(sorted(solve(classes, targets, totals, cap).items()), "s long, x double"))
+    else:
+        multipliers = solve_many(classes, known, cap)
     rated = classes.join(multipliers, "s", "left").withColumn("rate", F.least(F.lit(cap), F.exp(F.coalesce("x", F.lit(0.0)) * F.col("size"))))
-    plan = rated.groupBy("s").applyInPandas(_round_source(cap), "s int, size long, copies long")
+    plan = rated.groupBy("s").applyInPandas(_round_source(cap), "s long, size long, copies long")
     plan = written(rated.join(plan, ["s", "size"]).select("s", "size", "n", "rate", "copies"), "plan")
 
     # Within a size: each document gets the whole part, and the first by hash one more.
     ordered = F.xxhash64(F.lit(17), "doc_id")
-    dealt = join_counted(rows, plan, ["s", "size"], "n", sum(r.n_rows for r in counts)).withColumn("base", F.floor(F.col("copies") / F.col("n")))
+    dealt = join_counted(rows, plan, ["s", "size"], "n", n_rows or 0).withColumn("base", F.floor(F.col("copies") / F.col("n")))
     dealt = dealt.withColumn("extra", F.col("copies") - F.col("base") * F.col("n")).withColumn("bucket", F.pmod(ordered, F.ceil(F.col("n") / BUCKET)).cast("int"))
     whole = dealt.filter("extra = 0").withColumn("more", F.lit(False))
     parted = dealt.filter("extra > 0")

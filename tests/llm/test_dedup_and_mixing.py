@@ -148,6 +148,16 @@ def test_mix_meets_targets(spark):
     assert mixing.mix(docs(spark, [], "doc_id long, text string, source string")).collect() == []
 
 
+def test_sources_in_tables_give_the_same_mix(spark):
+    rng = random.Random(3)
+    names = ["a", "b", "é", "z", "\U0001f600", "\uffff", "", None]
+    rows = [(i, "w " * int(rng.lognormvariate(2, 1)), names[int(rng.random() ** 3 * 8)]) for i in range(200)] + [(900, "w " * 400, "b"), (901, None, "none"), (902, " ", "zero")]
+    table = docs(spark, rows, "doc_id long, text string, source string")
+    pick = lambda df: sorted((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken, r.copies) for r in df.collect())
+    assert pick(mixing.mix(table, max_sources=0)) == pick(mixing.mix(table))
+    assert mixing.mix(docs(spark, [], "doc_id long, text string, source string"), max_sources=-1).collect() == []
+
+
 def test_applied_mix_repeats_rows(spark):
     table = clashing(spark, [(1, "a b c", "s"), (1, "a b c", "s"), (2, "d " * 40, "t"), (None, "e f", "t"), (3, None, None)])
     want = sum(r.copies for r in mixing.mix(table).collect())
