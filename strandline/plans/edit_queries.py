@@ -10,7 +10,7 @@ from strandline.operators import changes, races, traces
 from strandline.plans import detect, edits
 from strandline.plans.queries import DEAD, FACTS, RACE, _both, facts
 from strandline.plans.registry import query
-from strandline.plans.trace_queries import CODE, INDEX, code
+from strandline.plans.trace_queries import CODE, code, index
 from strandline.sources import facts as source
 from strandline.sources import scope
 
@@ -25,7 +25,7 @@ def changed(base: str, old: str, new: str, times: int = -1) -> str:
 
 def fields(c: source.CodeTables, inst: DataFrame | None = None, points_to: DataFrame | None = None) -> DataFrame:
     found = traces.field_events(c.inst if inst is None else inst, c.nodes, c.points_to if points_to is None else points_to)
-    return found.select("node_id", INDEX, "kind", "sig")
+    return found.select("node_id", index(), "kind", "sig")
 
 
 CUT = "user_id % 7 = 3 AND (event_id % 9 = 4 OR user_id % 21 = 3)"
@@ -54,7 +54,7 @@ def _sync_sql(first: str, second: str) -> str:
 def _sync_changes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     c = code(spark, sf_dir)
     new = c.nodes.filter("user_id % 12 in (1, 2)").select("node_id", (F.col("user_id") % 12 == 2).alias("is_sync"))
-    held = lambda nodes: traces.synchronized_calls(c.inst, c.edges, nodes, c.points_to).filter("kind = 'LOCK'").select("node_id", INDEX, "lk")
+    held = lambda nodes: traces.synchronized_calls(c.inst, c.edges, nodes, c.points_to).filter("kind = 'LOCK'").select("node_id", index(), "lk")
     return changes.difference(held(c.nodes), held(edits.with_modifiers(c.nodes, new)))
 
 

@@ -5,6 +5,7 @@ The SQL states the program from the same table once more, without the DataFrame
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strandline.functions.signatures import limited_context
@@ -44,7 +45,11 @@ CODE = """
     run AS (SELECT * FROM passed WHERE (obj_type, obj_id) NOT IN (SELECT (obj_type, obj_id) FROM own) UNION ALL SELECT * FROM own),
     threadev AS (SELECT DISTINCT a.node_id, iindex, event AS kind, entry AS target, in_loop FROM inst a JOIN pt ON pt.node_id = a.node_id AND pt.value = CASE WHEN k % 8 = 2 THEN u1 ELSE u0 END JOIN run ON run.obj_type = pt.obj_type AND run.obj_id = pt.obj_id WHERE event IN ('START', 'JOIN'))
 """
-INDEX = F.col("pos")[0].alias("iindex")
+
+
+def index() -> Column:
+    """An event's instruction, as a plain column."""
+    return F.col("pos")[0].alias("iindex")
 
 
 def code(spark, sf_dir) -> source.CodeTables:
@@ -71,19 +76,19 @@ def outside_catch(spark, sf_dir):
 @query("SELECT node_id, iindex, kind, sig, prefix, loc FROM fieldev WHERE prefix NOT IN ('app/D1.f7', 'app/D2.f4')", CODE)
 def field_events(spark, sf_dir):
     c = code(spark, sf_dir)
-    return traces.field_events(c.inst, c.nodes, c.points_to, ["app/D1.f7", "app/D2.f4"]).select("node_id", INDEX, "kind", "sig", "prefix", "loc")
+    return traces.field_events(c.inst, c.nodes, c.points_to, ["app/D1.f7", "app/D2.f4"]).select("node_id", index(), "kind", "sig", "prefix", "loc")
 
 
 @query("SELECT node_id, iindex, kind, sig FROM arrayev", CODE)
 def array_events(spark, sf_dir):
     c = code(spark, sf_dir)
-    return traces.array_events(c.inst, c.nodes, c.points_to).select("node_id", INDEX, "kind", "sig")
+    return traces.array_events(c.inst, c.nodes, c.points_to).select("node_id", index(), "kind", "sig")
 
 
 @query("SELECT node_id, iindex, kind, lk FROM monitorev", CODE)
 def monitor_events(spark, sf_dir):
     c = code(spark, sf_dir)
-    return traces.monitor_events(c.inst, c.points_to).select("node_id", INDEX, "kind", "lk")
+    return traces.monitor_events(c.inst, c.points_to).select("node_id", index(), "kind", "lk")
 
 
 @query("""
@@ -93,20 +98,20 @@ def monitor_events(spark, sf_dir):
 """, CODE)
 def synchronized_calls(spark, sf_dir):
     c = code(spark, sf_dir)
-    return traces.synchronized_calls(c.inst, c.edges, c.nodes, c.points_to).select("node_id", INDEX, F.col("pos")[1].alias("place"), "kind", "lk")
+    return traces.synchronized_calls(c.inst, c.edges, c.nodes, c.points_to).select("node_id", index(), F.col("pos")[1].alias("place"), "kind", "lk")
 
 
 @query("SELECT node_id, iindex, target FROM callev", CODE)
 def call_events(spark, sf_dir):
     c = code(spark, sf_dir)
-    return traces.call_events(c.inst, c.edges).select("node_id", INDEX, "target")
+    return traces.call_events(c.inst, c.edges).select("node_id", index(), "target")
 
 
 @query("SELECT node_id, iindex, kind, target, CAST(in_loop AS INTEGER) AS in_loop FROM threadev", CODE)
 def thread_events(spark, sf_dir):
     """Starts and joins, of threads by their own class and of plain ones by the runnable they were made with."""
     c = code(spark, sf_dir)
-    return traces.thread_events(c.inst, scope.thread_entries(c.nodes), c.points_to).select("node_id", INDEX, "kind", "target", F.col("in_loop").cast("int").alias("in_loop"))
+    return traces.thread_events(c.inst, scope.thread_entries(c.nodes), c.points_to).select("node_id", index(), "kind", "target", F.col("in_loop").cast("int").alias("in_loop"))
 
 
 @query("""
@@ -160,7 +165,7 @@ def points_to_stats(spark, sf_dir):
 @query("SELECT c.node_id, c.iindex, c.target, inst.line FROM callev c JOIN inst ON inst.node_id = c.node_id AND inst.iindex = c.iindex", CODE)
 def call_lines(spark, sf_dir):
     c = code(spark, sf_dir)
-    return traces.located(traces.call_events(c.inst, c.edges), c.inst).select("node_id", INDEX, "target", "line")
+    return traces.located(traces.call_events(c.inst, c.edges), c.inst).select("node_id", index(), "target", "line")
 
 
 @query("SELECT obj_type || '|' || obj_id AS receiver, array_to_string(list_slice([obj_id, 'c' || value, 'c' || node_id], 1, 2), '|') AS context FROM (SELECT DISTINCT * FROM pt)", CODE)
