@@ -2,60 +2,116 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.lineage import cut
 
+from . import changes
 from .locks import inside, merged_sections, nested_acquisitions
-from .threads import may_be_parallel
+from .meetings import met, side, siblings, within
+
+ORDER = ["tid", "l1", "l2"]
+FOUND = ["tid1", "tid2", "l1", "l2"]
+
+
+def _opposite(order: DataFrame) -> DataFrame:
+    return order.select(F.col("l2").alias("l1"), F.col("l1").alias("l2"), *[c for c in order.columns if c not in ("l1", "l2")])
 
 
 def candidates(order: DataFrame) -> DataFrame:
     """tid1, tid2, l1, l2: thread 1 takes l1 then l2, thread 2 the other way round; tid1 < tid2."""
-    p = order.select(F.col("tid").alias("tid1"), "l1", "l2")
-    q = order.select(F.col("tid").alias("tid2"), F.col("l2").alias("l1"), F.col("l1").alias("l2"))
-    return p.join(q, ["l1", "l2"]).filter("tid1 < tid2").select("tid1", "tid2", "l1", "l2")
+    order = cut(order)
+    on = ["l1", "l2"]
+    return met(side(order, "a", on), side(_opposite(order), "b", on), on, "a_tid").filter("a_tid < b_tid").select(F.col("a_tid").alias("tid1"), F.col("b_tid").alias("tid2"), *on)
 
 
 def with_gates(sections: DataFrame) -> DataFrame:
     """Nested acquisitions with gates: the other locks held at the outer one's acquisition."""
     nested = nested_acquisitions(sections)
     outer = nested.select("tid", F.col("p1").alias("pos"), F.col("l1").alias("_l1")).distinct()
-    held = inside(outer, merged_sections(sections)).filter("lk <> _l1").groupBy(F.col("tid").alias("_tid"), F.col("pos").alias("_pos")).agg(F.array_sort(F.collect_set("lk")).alias("gates"))
+    held = inside(outer, merged_sections(sections)).filter("lk <> _l1").groupBy(F.col("tid").alias("_tid"), F.col("pos").alias("_pos"), F.col("_l1").alias("_of")).agg(F.array_sort(F.collect_set("lk")).alias("gates"))
     kind = dict(sections.dtypes)["lk"]
-    return nested.join(held, (F.col("tid") == F.col("_tid")) & (F.col("p1") == F.col("_pos")), "left").drop("_tid", "_pos").withColumn("gates", F.coalesce("gates", F.array().cast(f"array<{kind}>")))
+    same = (F.col("tid") == F.col("_tid")) & (F.col("p1") == F.col("_pos")) & (F.col("l1") == F.col("_of"))
+    return nested.join(held, same, "left").drop("_tid", "_pos", "_of").withColumn("gates", F.coalesce("gates", F.array().cast(f"array<{kind}>")))
+
+
+def _orders(nested: DataFrame, gated: bool, v: str = "") -> DataFrame:
+    """One row for each order that a thread has, with all its sets of gates: those that hold no other one."""
+    if not gated:
+        return nested.select(*ORDER).distinct()
+    within_another = lambda x: F.exists("_g", lambda y: (y != x) & (F.size(F.array_except(y, x)) == 0))
+    return nested.groupBy(*ORDER).agg(F.collect_set("gates").alias("_g")).select(*ORDER, F.filter("_g", lambda x: ~within_another(x)).alias(f"gates{v}"))
+
+
+def _ungated(a: Column, b: Column) -> Column:
+    """Some set of a's gates has none in common with some set of b's. One that has an empty set has no other."""
+    free = lambda g: F.size(g[0]) == 0
+    return free(a) | free(b) | F.exists(a, lambda x: F.exists(b, lambda y: ~F.arrays_overlap(x, y)))
+
+
+def _of_ancestors(nested: DataFrame, orders: DataFrame, up: DataFrame, gated: bool) -> DataFrame:
+    """Deadlocks of a thread with one below it: its acquisitions count one by one, both must lie between the child's start and join."""
+    on = ["up", "l1", "l2"]
+    below = cut(_opposite(orders).join(up.filter("child is not null"), "tid"))
+    own = cut(nested.withColumn("up", F.col("tid")))
+    at = met(side(own, "a", on), side(below, "b", on), on, "a_p1")
+    for p in ("a_p1", "a_p2"):
+        at = at.filter(within(F.col(p), F.col("b_cs"), F.col("b_cj")))
+    if gated:
+        at = at.filter(_ungated(F.array("a_gates"), F.col("b_gates")))
+    first = F.col("a_tid") < F.col("b_tid")
+    return at.select(F.least("a_tid", "b_tid").alias("tid1"), F.greatest("a_tid", "b_tid").alias("tid2"), F.when(first, F.col("l1")).otherwise(F.col("l2")).alias("l1"), F.when(first, F.col("l2")).otherwise(F.col("l1")).alias("l2")).distinct()
+
+
+def _nested(sections: DataFrame, gated: bool) -> DataFrame:
+    return cut(with_gates(sections) if gated else nested_acquisitions(sections))
 
 
-def deadlocks(sections: DataFrame, paths: DataFrame, gated: bool = False) -> DataFrame:
+def deadlocks(sections: DataFrame, up: DataFrame, gated: bool = False) -> DataFrame:
     """tid1, tid2, l1, l2 of deadlocks whose outer and inner acquisitions may be parallel.
 
-    gated: pairs that a further lock, held by both threads, keeps apart are left out.
+    up as of meetings.ways. gated: pairs that a further lock, held by both threads,
+    keeps apart are left out. Threads that are no ancestors of each other are parallel or not as a whole, so
+    one row for each order that a thread has is enough: their pairs need no distinct.
     """
-    nested = cut(with_gates(sections) if gated else nested_acquisitions(sections))
-    # Threads that are no ancestors of each other are parallel or not as a whole: one row for each order a thread has is enough.
-    kind = ["tid", "l1", "l2", *(["gates"] if gated else [])]
-    where = nested.select(*kind).distinct().join(paths, "tid")
-    columns = [c for c in where.columns if c not in ("l1", "l2")]
-    p = where.select("l1", "l2", *[F.col(c).alias(f"a_{c}") for c in columns])
-    q = where.select(F.col("l2").alias("l1"), F.col("l1").alias("l2"), *[F.col(c).alias(f"b_{c}") for c in columns])
-    met = p.join(q, ["l1", "l2"]).filter("a_tid < b_tid")
+    nested = _nested(sections, gated)
+    orders = cut(_orders(nested, gated))
+    placed = cut(orders.join(up.filter("child is not null"), "tid"))
+    on = ["up", "l1", "l2"]
+    pairs = met(side(placed, "a", on), side(_opposite(placed), "b", on), on, "a_tid").filter((F.col("a_tid") < F.col("b_tid")) & siblings("a", "b"))
     if gated:
-        met = met.filter(~F.arrays_overlap("a_gates", "b_gates"))
-    nowhere = F.lit(None).cast(dict(nested.dtypes)["p1"])
-    judged = met.withColumn("a_pos", nowhere).withColumn("b_pos", nowhere).withColumn("known", may_be_parallel("a", "b"))
-    out = ["a_tid", "b_tid", "l1", "l2"]
-    found = judged.filter("known").select(*out)
-    # An ancestor's acquisitions count one by one: both must lie between the other's start and join.
-    for x, y in (("a", "b"), ("b", "a")):
-        of = judged.filter("known is null").filter(F.size(f"{x}_path") < F.size(f"{y}_path")).drop("a_pos", "b_pos")
-        locks = {"a": ("l1", "l2"), "b": ("l2", "l1")}[x]
-        spots = nested.select(F.col("tid").alias("_tid"), F.col("l1").alias("_l1"), F.col("l2").alias("_l2"), "p1", "p2", *([F.col("gates").alias("_gates")] if gated else []))
-        same = (F.col(f"{x}_tid") == F.col("_tid")) & (F.col(locks[0]) == F.col("_l1")) & (F.col(locks[1]) == F.col("_l2"))
-        if gated:
-            same &= F.col(f"{x}_gates") == F.col("_gates")
-        at = of.join(spots, same)
-        for p in ("p1", "p2"):
-            at = at.withColumn("a_pos", F.col(p)).withColumn("b_pos", F.col(p)).filter(may_be_parallel("a", "b"))
-        found = found.unionByName(at.select(*out))
-    return found.distinct().select(F.col("a_tid").alias("tid1"), F.col("b_tid").alias("tid2"), "l1", "l2")
+        pairs = pairs.filter(_ungated(F.col("a_gates"), F.col("b_gates")))
+    found = pairs.select(F.col("a_tid").alias("tid1"), F.col("b_tid").alias("tid2"), "l1", "l2")
+    return found.unionByName(_of_ancestors(nested, orders, up, gated))
+
+
+def changed_deadlocks(sections: tuple[DataFrame, DataFrame], up: DataFrame, gated: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(added, removed) deadlocks between two states, _old and _new, of the sections and of up's cs and cj.
+
+    Only pairs with a changed order, or a child whose start or join changed, are
+    formed, and each is judged in both states at once: no findings are compared but
+    those of ancestors, of which there are few.
+    """
+    states = ("_old", "_new")
+    nested = [_nested(s, gated) for s in sections]
+    orders = [cut(_orders(n, gated, v)) for n, v in zip(nested, states)]
+    each = orders[0].withColumns({"in_old": F.lit(True), "in_new": F.lit(False)}).unionByName(orders[1].withColumns({"in_old": F.lit(False), "in_new": F.lit(True)}), allowMissingColumns=True)
+    known = each.groupBy(*ORDER).agg(*[f(c).alias(c) for v in states for f, c in ((F.bool_or, f"in{v}"), *([(F.max, f"gates{v}")] if gated else []))])
+    other = lambda what: ~F.col(f"{what}_old").eqNullSafe(F.col(f"{what}_new"))
+    changed = other("in") | other("cs") | other("cj") | (other("gates") if gated else F.lit(False))
+    placed = cut(known.join(up.filter("child is not null"), "tid").withColumn("changed", changed))
+    on = ["up", "l1", "l2"]
+    # The changed row is the first of a pair; where both are, each is the first once and the lesser thread's counts.
+    pairs = met(side(placed.filter("changed"), "a", on), side(_opposite(placed), "b", on), on, "a_tid").filter("not b_changed or a_tid < b_tid")
+
+    def holds(v: str) -> Column:
+        known = F.col(f"a_in{v}") & F.col(f"b_in{v}") & siblings("a", "b", v)
+        return known & _ungated(F.col(f"a_gates{v}"), F.col(f"b_gates{v}")) if gated else known
+
+    first = F.col("a_tid") < F.col("b_tid")
+    names = (F.least("a_tid", "b_tid").alias("tid1"), F.greatest("a_tid", "b_tid").alias("tid2"), F.when(first, F.col("l1")).otherwise(F.col("l2")).alias("l1"), F.when(first, F.col("l2")).otherwise(F.col("l1")).alias("l2"))
+    seen = lambda v: F.coalesce(holds(v), F.lit(False))
+    of = lambda i, v: _of_ancestors(nested[i], orders[i].withColumnRenamed(f"gates{v}", "gates"), up.withColumnsRenamed({f"cs{v}": "cs", f"cj{v}": "cj"}).select("tid", "up", "child", "cs", "cj"), gated)
+    added, removed = changes.difference(of(0, "_old"), of(1, "_new"))
+    return pairs.filter(seen("_new") & ~seen("_old")).select(*names).unionByName(added), pairs.filter(seen("_old") & ~seen("_new")).select(*names).unionByName(removed)

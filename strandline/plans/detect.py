@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.lineage import cut
-from strandline.operators import changes, deadlocks, locks, races, threads
+from strandline.operators import changes, deadlocks, locks, meetings, races, threads
 from strandline.sources.facts import Facts
 
 #: Threads' paths are broadcast up to so many entries of their arrays, some 30 MB; with more, accesses are joined with them by shuffle.
@@ -18,7 +18,7 @@ MAX_BROADCAST_STEPS = 300_000
 def small(paths: DataFrame, most: int = MAX_BROADCAST_STEPS) -> DataFrame:
     """paths, to be broadcast if their arrays are short enough in all."""
     steps = paths.agg(F.sum(F.size("path"))).first()[0] or 0
-    return F.broadcast(paths) if steps <= most else paths
+    return F.broadcast(paths) if steps <= most else paths.hint("merge")
 
 
 def _with_context(accesses: DataFrame, facts: Facts, paths: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def detect_races(facts: Facts, distance: int | None = None, paths: DataFrame | N
 
 def detect_deadlocks(facts: Facts, gated: bool = False) -> DataFrame:
     """tid1, tid2, l1, l2."""
-    return deadlocks.deadlocks(locks.critical_sections(facts.locks), small(threads.thread_paths(facts.threads)), gated)
+    return deadlocks.deadlocks(locks.critical_sections(facts.locks), meetings.ways(small(threads.thread_paths(facts.threads))), gated)
 
 
 #: Variables of a delta that are broadcast to find their accesses.
@@ -82,6 +82,24 @@ def _both_paths(before: Facts, after: Facts) -> tuple[DataFrame, DataFrame]:
     return old, old if after.threads is before.threads else threads.thread_paths(after.threads)
 
 
+#: The two states of a change, as endings of columns.
+STATES = ("_old", "_new")
+
+
+def paths_of_both(before: Facts, after: Facts) -> DataFrame | None:
+    """Paths whose starts and joins are structs of both states; None if a thread comes, goes or gets another parent."""
+    both = lambda c, o, n: F.struct(o.alias(STATES[0]), n.alias(STATES[1])).alias(c)
+    if before.threads is after.threads:
+        t = before.threads.select("tid", "ptid", *[both(c, F.col(c), F.col(c)) for c in ("s", "j")])
+    else:
+        o, n = (f.threads.select("tid", *[F.col(c).alias(f"{c}{v}") for c in ("ptid", "s", "j")], F.lit(True).alias(f"is{v}")) for f, v in ((before, STATES[0]), (after, STATES[1])))
+        t = cut(o.join(n, "tid", "full"))
+        if not t.filter("is_old is null or is_new is null or not ptid_old <=> ptid_new").isEmpty():
+            return None
+        t = t.select("tid", F.col("ptid_old").alias("ptid"), *[both(c, F.col(f"{c}_old"), F.col(f"{c}_new")) for c in ("s", "j")])
+    return threads.thread_paths(t)
+
+
 def race_changes(before: Facts, after: Facts) -> tuple[DataFrame, DataFrame]:
     """(added, removed) races between two states; only variables whose accesses changed are judged again.
 
@@ -138,4 +156,8 @@ def deadlock_changes(before: Facts, after: Facts, gated: bool = False) -> tuple[
     concerned = every.join(tids, "tid", "left_semi").select("lk").distinct()
     near = cut(every.join(concerned, "lk", "left_semi").select("tid").distinct())
     old, new = (f.with_(locks=changes.only(k, near, "tid")) for f, k in ((before, old_locks), (after, new_locks)))
-    return changes.difference(detect_deadlocks(old, gated), detect_deadlocks(new, gated))
+    paths = paths_of_both(before, after)
+    if paths is None:
+        return changes.difference(detect_deadlocks(old, gated), detect_deadlocks(new, gated))
+    sections = tuple(locks.critical_sections(f.locks) for f in (old, new))
+    return deadlocks.changed_deadlocks(sections, meetings.ways(small(paths), STATES), gated)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import changes, deadlocks, explain, locks, races, threads
+from strandline.operators import changes, deadlocks, explain, locks, meetings, races, threads
 from strandline.plans import detect
 from strandline.sources.facts import Facts
 
@@ -229,3 +229,72 @@ def test_relations_group_by_write(example):
 def test_candidate_deadlocks_need_two_threads(spark):
     order = spark.createDataFrame([(1, "a", "b"), (1, "b", "a"), (2, "b", "a")], "tid long, l1 string, l2 string")
     assert [tuple(r) for r in deadlocks.candidates(order).collect()] == [(1, 2, "a", "b")]
+
+
+def many_threads(spark, seed, n=40, n_locks=4, events=24):
+    """A forest of three children each, with nested sections."""
+    rng = random.Random(seed)
+    forest = [(t, (t - 1) // 3 if t else None, 0 if not t else rng.randrange(20), rng.choice([None, rng.randrange(20, 40)]) if t else None) for t in range(n)]
+    locked = [(t, p, rng.choice(["LOCK", "UNLOCK"]), f"l{rng.randrange(n_locks)}") for t in range(n) for p in rng.sample(range(40), events)]
+    return facts(spark, [], locked, forest)
+
+
+def plain_deadlocks(f, gated=False):
+    """Every pair of nested acquisitions, one by one."""
+    forest = {r.tid: r for r in f.threads.collect()}
+    events = [tuple(r)[1:] for r in f.locks.collect()]
+    sections = set()
+    for t, p, k, lk in events:
+        ends = [q for u, q, m, n in events if (u, m, n) == (t, "UNLOCK", lk) and q > p]
+        if k == "LOCK" and ends:
+            sections.add((t, lk, p, min(ends)))
+    first = {}
+    for t, lk, lo, hi in sections:
+        first[t, lk, hi] = min(lo, first.get((t, lk, hi), lo))
+    nested = {(t, lk, lo, l2, p2) for (t, lk, hi), lo in first.items() for u, l2, p2, _ in sections if u == t and l2 != lk and lo < p2 < hi}
+    gates = {n: {lk for (t, lk, hi), lo in first.items() if t == n[0] and lk != n[1] and lo < n[2] < hi} for n in nested}
+
+    def up(t):
+        way = [t]
+        while forest[way[0]].ptid is not None:
+            way.insert(0, forest[way[0]].ptid)
+        return way
+
+    def parallel(a, pa, b, pb):
+        x, y = up(a), up(b)
+        d = sum(i == j for i, j in zip(x, y))
+        ends = lambda t: (forest[t].s, float("inf") if forest[t].j is None else forest[t].j)
+        if d == len(x):
+            s, j = ends(y[d])
+            return all(s < p < j for p in pa)
+        if d == len(y):
+            s, j = ends(x[d])
+            return all(s < p < j for p in pb)
+        return ends(x[d])[0] < ends(y[d])[1] and ends(y[d])[0] < ends(x[d])[1]
+
+    met = {(a, b) for a in nested for b in nested if a[0] < b[0] and (a[1], a[3]) == (b[3], b[1])}
+    return sorted({(a[0], b[0], a[1], a[3]) for a, b in met if not (gated and gates[a] & gates[b]) and parallel(a[0], (a[2], a[4]), b[0], (b[2], b[4]))})
+
+
+@pytest.mark.parametrize("gated", [False, True])
+def test_deadlocks_of_a_deep_forest_are_those_of_all_pairs(spark, gated):
+    f = many_threads(spark, 4)
+    got = rows(detect.detect_deadlocks(f, gated))
+    assert got == plain_deadlocks(f, gated) and len(got) > 100
+
+
+def largest_share(df):
+    """The share of the rows that the largest task makes."""
+    sizes = [r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    return max(sizes) / sum(sizes)
+
+
+@pytest.mark.parametrize("gated", [False, True])
+def test_deadlocks_of_one_pair_of_locks_are_dealt_over_tasks(spark, monkeypatch, gated):
+    monkeypatch.setattr(meetings, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(meetings, "TASK_PAIRS", 500)
+    order = lambda t: ("A", "B") if t % 2 else ("B", "A")
+    locked = [(t, p, k, order(t)[i]) for t in range(1, 201) for p, k, i in ((1, "LOCK", 0), (2, "LOCK", 1), (3, "UNLOCK", 1), (4, "UNLOCK", 0))]
+    f = facts(spark, [], locked, [(0, None, 0, None), *((t, 0, t, None) for t in range(1, 201))])
+    got = detect.detect_deadlocks(f, gated)
+    assert got.count() == 100 * 100 and largest_share(got) < 0.5
