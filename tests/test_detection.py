@@ -298,3 +298,24 @@ def test_deadlocks_of_one_pair_of_locks_are_dealt_over_tasks(spark, monkeypatch,
     f = facts(spark, [], locked, [(0, None, 0, None), *((t, 0, t, None) for t in range(1, 201))])
     got = detect.detect_deadlocks(f, gated)
     assert got.count() == 100 * 100 and largest_share(got) < 0.5
+
+
+def one_hot_variable(spark):
+    """200 threads of one parent that write one variable each."""
+    return facts(spark, [(t, 1, "WRITE", "v") for t in range(1, 201)], [], [(0, None, 0, None), *((t, 0, t, None) for t in range(1, 201))])
+
+
+def test_races_of_one_variable_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(meetings, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(meetings, "TASK_PAIRS", 1000)
+    got = detect.detect_races(one_hot_variable(spark))
+    assert got.count() == 200 * 199 // 2 and largest_share(got) < 0.5
+
+
+def test_moved_threads_compare_no_findings(spark, monkeypatch):
+    f = random_facts(spark, 7)
+    after = f.with_(threads=spark.createDataFrame([(1, None, 0, None), (2, 1, 5, None), (3, 1, 9, None), (4, 2, 30, None), (5, 2, 20, 25)], THREAD))
+    old, new = rows(detect.detect_races(f)), rows(detect.detect_races(after))
+    monkeypatch.setattr(changes, "difference", None)  # would shuffle all findings of both states
+    added, removed = detect.race_changes(f, after)
+    assert rows(added) == sorted(set(new) - set(old)) and rows(removed) == sorted(set(old) - set(new)) and added.count()
