@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from strandline.functions.lineage import cut
 
+from .meetings import met
+
 
 def reach(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(a, b) for every b reached from a by one call or more. Path doubling: log2(depth) rounds, in which only new ways are extended."""
@@ -25,9 +27,8 @@ def reach(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     raise RuntimeError("the closure didn't settle")
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """(node, tid): thread ids carried from the seeds down all call edges. Semi-naive: only new rows are extended."""
-    calls = edges.select(F.col("a").alias("_from"), F.col("b").alias("_to")).distinct()
+def _carried(edges: DataFrame, seeds: DataFrame, most_rounds: int) -> DataFrame:
+    calls = cut(edges.select(F.col("a").alias("_from"), F.col("b").alias("_to")).distinct())
     known = cut(seeds.select("node", "tid").distinct())
     fresh = known
     for _ in range(most_rounds):
@@ -39,6 +40,17 @@ def propagate(edges: DataFrame, seeds: DataFrame, most_rounds: int = 10_000) ->
     raise RuntimeError("the propagation didn't settle")
 
 
+def propagate(edges: DataFrame, seeds: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """(node, tid): thread ids carried from the seeds down all call edges. Semi-naive: only new rows are extended.
+
+    Threads with the same seeds reach the same nodes, so their set of seeds is
+    carried in their place, once, and the threads are put in at the end.
+    """
+    alike = cut(seeds.groupBy("tid").agg(F.sort_array(F.collect_set("node")).alias("_seeds")))
+    carried = _carried(edges, alike.select(F.explode("_seeds").alias("node"), F.col("_seeds").alias("tid")), most_rounds)
+    return met(alike, carried.withColumnRenamed("tid", "_seeds"), ["_seeds"], "tid").select("node", "tid")
+
+
 def withdraw(edges: DataFrame, seeds: DataFrame, removed: DataFrame, carried: DataFrame) -> DataFrame:
     """(node, tid) after seeds (node, tid) are removed, from what was `carried` before: only the threads concerned are carried anew."""
     tids = removed.select("tid").distinct()
