@@ -47,7 +47,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, most_rounds: int = 10_000) ->
     carried in their place, once, and the threads are put in at the end.
     """
     alike = cut(seeds.groupBy("tid").agg(F.sort_array(F.collect_set("node")).alias("_seeds")))
-    carried = _carried(edges, alike.select(F.explode("_seeds").alias("node"), F.col("_seeds").alias("tid")), most_rounds)
+    carried = _carried(edges, alike.select("_seeds").distinct().select(F.explode("_seeds").alias("node"), F.col("_seeds").alias("tid")), most_rounds)
     return met(alike, carried.withColumnRenamed("tid", "_seeds"), ["_seeds"], "tid").select("node", "tid")
 
 
