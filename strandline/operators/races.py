@@ -57,7 +57,7 @@ def pairs(accesses: DataFrame) -> DataFrame:
     return met.filter("a_tid <> b_tid and (b_kind = 'READ' or a_idx < b_idx)")
 
 
-def _free(a: str, b: str, v: str = "") -> Column:
+def free(a: str, b: str, v: str = "") -> Column:
     """No common lock; where one side holds none, nothing is compared."""
     x, y = F.col(f"{a}_locks{v}"), F.col(f"{b}_locks{v}")
     return (F.size(x) == 0) | (F.size(y) == 0) | ~F.arrays_overlap(x, y)
@@ -70,23 +70,30 @@ def race_candidates(accesses: DataFrame) -> DataFrame:
 
 def unprotected(candidates: DataFrame) -> DataFrame:
     """Pairs without a common lock. Locksets travel with the accesses, so no pair is joined again."""
-    return candidates.filter(_free("a", "b"))
+    return candidates.filter(free("a", "b"))
+
+
+#: Where rows of two threads meet: at a variable and a thread on both ways.
+ON = ["sig", "up"]
+
+
+def placed_ways(ready: DataFrame, up: DataFrame) -> DataFrame:
+    """Accesses at every thread on their way to the root, written. Variables are left out wherever one child alone of a thread touches them."""
+    placed = ready.join(up, "tid")
+    child = F.coalesce(F.col("child"), F.col("up"))
+    apart = placed.groupBy(*ON).agg(F.min(child).alias("_x"), F.max(child).alias("_y")).filter("_x <> _y").select(*ON)
+    return cut(placed.join(apart, ON))
 
 
 def racing(ready: DataFrame, up: DataFrame, distance: int | None = None) -> DataFrame:
     """Pairs a_*, b_* of unprotected accesses that no start or join orders; ready: accesses with locks, up as of meetings.ways.
 
-    Each pair meets once, at its threads' lowest common ancestor. Variables are
-    left out wherever one child alone of a thread touches them.
+    Each pair meets once, at its threads' lowest common ancestor.
     """
-    on = ["sig", "up"]
-    placed = ready.join(up, "tid")
-    child = F.coalesce(F.col("child"), F.col("up"))
-    apart = placed.groupBy(*on).agg(F.min(child).alias("_x"), F.max(child).alias("_y")).filter("_x <> _y").select(*on)
-    placed = cut(placed.join(apart, on))
-    one, two = (meetings.side(placed, x, on) for x in ("a", "b"))
-    met = meetings.met(one.filter("a_kind = 'WRITE'"), two, on, "a_idx", 2)
-    return met.filter((F.col("b_kind") == "READ") | (F.col("a_idx") < F.col("b_idx"))).filter(meetings.parallel("a", "b", "", distance) & _free("a", "b"))
+    placed = placed_ways(ready, up)
+    one, two = (meetings.side(placed, x, ON) for x in ("a", "b"))
+    met = meetings.met(one.filter("a_kind = 'WRITE'"), two, ON, "a_idx", 2)
+    return met.filter((F.col("b_kind") == "READ") | (F.col("a_idx") < F.col("b_idx"))).filter(meetings.parallel("a", "b", "", distance) & free("a", "b"))
 
 
 def changed_races(ready: DataFrame, up: DataFrame, states: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
@@ -103,7 +110,7 @@ def changed_races(ready: DataFrame, up: DataFrame, states: tuple[str, str]) -> t
     placed = cut(ready.join(up, "tid").withColumn("changed", changed))
     one, two = (meetings.side(placed, x, on) for x in ("a", "b"))
     met = meetings.met(one.filter("a_changed"), two, on, "a_idx", 2).filter("a_tid <> b_tid and (a_kind = 'WRITE' or b_kind = 'WRITE') and (not b_changed or a_idx < b_idx)")
-    holds = lambda v: F.coalesce(F.col(f"a_in{v}") & F.col(f"b_in{v}") & meetings.parallel("a", "b", v) & _free("a", "b", v), F.lit(False))
+    holds = lambda v: F.coalesce(F.col(f"a_in{v}") & F.col(f"b_in{v}") & meetings.parallel("a", "b", v) & free("a", "b", v), F.lit(False))
     old, new = (holds(v) for v in states)
     return met.filter(new & ~old), met.filter(old & ~new)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.lineage import cut
-from strandline.operators import changes, deadlocks, locks, meetings, races, threads
+from strandline.operators import changes, deadlocks, locks, meetings, partners, races, threads
 from strandline.sources.facts import Facts
 
 #: Threads' paths are broadcast up to so many entries of their arrays, some 30 MB; with more, accesses are joined with them by shuffle.
@@ -34,9 +34,12 @@ def unprotected_pairs(facts: Facts) -> DataFrame:
     return races.unprotected(races.pairs(placed(facts)))
 
 
+def _ways(facts: Facts, paths: DataFrame | None = None) -> DataFrame:
+    return meetings.ways(small(threads.thread_paths(facts.threads) if paths is None else paths))
+
+
 def _racing(facts: Facts, distance: int | None = None, paths: DataFrame | None = None) -> DataFrame:
-    up = meetings.ways(small(threads.thread_paths(facts.threads) if paths is None else paths))
-    return races.racing(placed(facts), up, distance)
+    return races.racing(placed(facts), _ways(facts, paths), distance)
 
 
 def detect_races(facts: Facts, distance: int | None = None, paths: DataFrame | None = None) -> DataFrame:
@@ -44,6 +47,16 @@ def detect_races(facts: Facts, distance: int | None = None, paths: DataFrame | N
     return races.named(_racing(facts, distance, paths))
 
 
+def racing_accesses(facts: Facts, distance: int | None = None, paths: DataFrame | None = None) -> DataFrame:
+    """Distinct (idx, tid) of the accesses of all races, which are not formed for it."""
+    return partners.racing_accesses(placed(facts), _ways(facts, paths), distance)
+
+
+def race_numbers(facts: Facts, distance: int | None = None) -> DataFrame:
+    """sig, n_races, n_first of all races, which are not formed for it."""
+    return partners.race_numbers(placed(facts), _ways(facts), distance)
+
+
 def moved_races(facts: Facts, lines: DataFrame, distance: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(removed, added) races whose places got new lines (loc, new_loc). Accesses get them before they are paired, so no race is joined with a line."""
     at = facts.accesses.join(lines.select("loc", "new_loc"), "loc", "left")
@@ -54,7 +67,7 @@ def moved_races(facts: Facts, lines: DataFrame, distance: int | None = None) ->
 
 def detect_deadlocks(facts: Facts, gated: bool = False) -> DataFrame:
     """tid1, tid2, l1, l2."""
-    return deadlocks.deadlocks(locks.critical_sections(facts.locks), meetings.ways(small(threads.thread_paths(facts.threads))), gated)
+    return deadlocks.deadlocks(locks.critical_sections(facts.locks), _ways(facts), gated)
 
 
 @dataclass(frozen=True)

@@ -119,7 +119,7 @@ def races_found(spark, sf_dir):
 
 @query("SELECT sig, count(*) AS n_races, count(DISTINCT tid1) AS n_first FROM race GROUP BY sig")
 def racy_variables(spark, sf_dir):
-    return detect.detect_races(facts(spark, sf_dir)).groupBy("sig").agg(F.count(F.lit(1)).alias("n_races"), F.countDistinct("tid1").alias("n_first"))
+    return detect.race_numbers(facts(spark, sf_dir))
 
 
 @query("SELECT sig, CAST(least(CAST(idx1 AS VARCHAR), CAST(idx2 AS VARCHAR)) AS VARCHAR) AS p1, CAST(greatest(CAST(idx1 AS VARCHAR), CAST(idx2 AS VARCHAR)) AS VARCHAR) AS p2, count(*) AS n_pairs FROM race GROUP BY 1, 2, 3")
