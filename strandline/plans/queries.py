@@ -204,9 +204,8 @@ def graph_stats(spark, sf_dir):
 """)
 def explain_race(spark, sf_dir):
     f = facts(spark, sf_dir)
-    found = detect.detect_races(f)
-    hit = found.select(F.col("idx1").alias("idx"), F.col("tid1").alias("tid")).unionByName(found.select(F.col("idx2").alias("idx"), F.col("tid2").alias("tid"))).distinct()
-    return explain.explain(hit.withColumn("pos", F.col("idx")), threads.thread_paths(f.threads))
+    paths = threads.thread_paths(f.threads)
+    return explain.explain(detect.racing_accesses(f, paths=paths).withColumn("pos", F.col("idx")), paths)
 
 
 @query("""

@@ -36,7 +36,7 @@ def test_numbers_and_partners_equal_the_pairs(spark, monkeypatch, seed, most):
     assert sorted(map(tuple, detect.race_numbers(f).collect())) == sorted((s, len(t), len(set(t))) for s, t in each.items())
 
 
-@pytest.mark.parametrize("name", ["racy_variables"])
+@pytest.mark.parametrize("name", ["explain_race", "racy_variables"])
 def test_no_race_is_formed(spark, monkeypatch, name):
     def forbidden(*_):
         raise AssertionError("all pairs are formed")
