@@ -96,6 +96,20 @@ def racing(ready: DataFrame, up: DataFrame, distance: int | None = None) -> Data
     return met.filter((F.col("b_kind") == "READ") | (F.col("a_idx") < F.col("b_idx"))).filter(meetings.parallel("a", "b", "", distance) & free("a", "b"))
 
 
+def racing_some(ready: DataFrame, up: DataFrame, which: str, distance: int | None = None) -> DataFrame:
+    """As racing, but only pairs with an access for which the boolean column `which` holds."""
+    placed = placed_ways(ready, up)
+    one, two = (meetings.side(placed, x, ON) for x in ("a", "b"))
+    met = meetings.met(one.filter(f"a_{which}"), two, ON, "a_idx", 2).filter(f"(a_kind = 'WRITE' or b_kind = 'WRITE') and (not b_{which} or a_idx < b_idx)")
+    return met.filter(meetings.parallel("a", "b", "", distance) & free("a", "b"))
+
+
+def with_crowded(accesses: DataFrame) -> DataFrame:
+    """accesses with `crowded`: whether another one to the variable has the same place. Two that are not have a race that no other one looks like."""
+    places = accesses.groupBy("sig", "loc").agg((F.count(F.lit(1)) > 1).alias("crowded"))
+    return accesses.join(places, ["sig", "loc"], "left").withColumn("crowded", F.coalesce("crowded", F.lit(True)))
+
+
 def changed_races(ready: DataFrame, up: DataFrame, states: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
     """(added, removed) pairs between two states.
 
@@ -122,10 +136,14 @@ def named(candidates: DataFrame, *more: str) -> DataFrame:
     return candidates.select("sig", *pick("idx"), *pick("tid"), *pick("kind"), *pick("loc"), *[c for m in more for c in pick(m)])
 
 
-def distinct_races(races: DataFrame) -> DataFrame:
-    """One row for each variable and unordered pair of places."""
-    ends = races.withColumn("p1", F.least("loc1", "loc2")).withColumn("p2", F.greatest("loc1", "loc2"))
-    return ends.groupBy("sig", "p1", "p2").agg(F.count(F.lit(1)).alias("n_pairs"))
+def _ends(races: DataFrame) -> DataFrame:
+    return races.withColumn("p1", F.least("loc1", "loc2")).withColumn("p2", F.greatest("loc1", "loc2"))
+
+
+def distinct_races(races: DataFrame, single: DataFrame | None = None) -> DataFrame:
+    """One row for each variable and unordered pair of places. single: further races that are known to be the only ones between their places."""
+    grouped = _ends(races).groupBy("sig", "p1", "p2").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return grouped if single is None else grouped.unionByName(_ends(single).select("sig", "p1", "p2", F.lit(1).cast("long").alias("n_pairs")))
 
 
 def relations(races: DataFrame) -> DataFrame:

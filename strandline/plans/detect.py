@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.lineage import cut
+from strandline.functions.signatures import race_message
 from strandline.operators import changes, deadlocks, locks, meetings, partners, races, threads
 from strandline.sources.facts import Facts
 
@@ -57,6 +58,34 @@ def race_numbers(facts: Facts, distance: int | None = None) -> DataFrame:
     return partners.race_numbers(placed(facts), _ways(facts), distance)
 
 
+def _apart(facts: Facts, crowded: Column | None = None, distance: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(races of accesses that are alone at their places, all other races); each is formed once. crowded: what else makes an access count as not alone."""
+    ready = races.with_crowded(placed(facts))
+    ready = cut(ready if crowded is None else ready.withColumn("crowded", F.col("crowded") | crowded))
+    up = _ways(facts)
+    return races.named(races.racing(ready.filter("not crowded"), up, distance)), races.named(races.racing_some(ready, up, "crowded", distance))
+
+
+def distinct_races(facts: Facts, distance: int | None = None) -> DataFrame:
+    """sig, p1, p2, n_pairs. Races of accesses that are alone at their places are not moved."""
+    single, rest = _apart(facts, distance=distance)
+    return races.distinct_races(rest, single)
+
+
+def markers(facts: Facts, shown: str, added: str, removed: str, distance: int | None = None) -> DataFrame:
+    """Distinct messages of the shown races, less those of removed ones, and of added ones (conditions on races).
+
+    A message with no more brackets and commas than its own tells sig and places, so that of two accesses alone at
+    their places is one race's: its own columns decide, and it isn't moved. Others are grouped by message.
+    """
+    unclear = F.coalesce(F.col("sig").rlike("[(,]") | F.col("loc").rlike("[(,]"), F.lit(True))
+    single, rest = _apart(facts, unclear, distance)
+    said = lambda df: df.select(race_message(F.col("sig"), F.col("loc1"), F.col("loc2")).alias("message"), *[F.coalesce(F.expr(c), F.lit(False)).alias(n) for n, c in (("shown", shown), ("added", added), ("removed", removed))])
+    grouped = said(rest).groupBy("message").agg(*[F.bool_or(c).alias(c) for c in ("shown", "added", "removed")])
+    # A message that is null equals no removed one.
+    return said(single).unionByName(grouped).filter("added or shown and (message is null or not removed)").select("message")
+
+
 def moved_races(facts: Facts, lines: DataFrame, distance: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(removed, added) races whose places got new lines (loc, new_loc). Accesses get them before they are paired, so no race is joined with a line."""
     at = facts.accesses.join(lines.select("loc", "new_loc"), "loc", "left")

@@ -124,7 +124,7 @@ def racy_variables(spark, sf_dir):
 
 @query("SELECT sig, CAST(least(CAST(idx1 AS VARCHAR), CAST(idx2 AS VARCHAR)) AS VARCHAR) AS p1, CAST(greatest(CAST(idx1 AS VARCHAR), CAST(idx2 AS VARCHAR)) AS VARCHAR) AS p2, count(*) AS n_pairs FROM race GROUP BY 1, 2, 3")
 def distinct_races(spark, sf_dir):
-    return races.distinct_races(detect.detect_races(facts(spark, sf_dir)))
+    return detect.distinct_races(facts(spark, sf_dir))
 
 
 @query("SELECT tid, l1, l2 FROM ord")

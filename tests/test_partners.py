@@ -5,9 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.functions.signatures import race_message
 from strandline.operators import locks, partners, races
 from strandline.plans import detect
-from strandline.plans.queries import QUERIES
+from strandline.plans.queries import QUERIES, facts
+from strandline.sources import scope
 from strandline.sources.facts import Facts
 
 TABLES = "/root/testdata/sf0.001"
@@ -43,3 +45,20 @@ def test_no_race_is_formed(spark, monkeypatch, name):
 
     monkeypatch.setattr(races, "racing", forbidden)
     assert QUERIES[name](spark, TABLES).count()
+
+
+def test_races_of_places_and_messages(spark):
+    """Places with one access and with several, and one with a comma; wherever the races come from, each key is one row."""
+    f = program(spark, 1)
+    f = f.with_(accesses=f.accesses.withColumn("loc", F.when(F.col("idx") % 9 == 4, F.concat("loc", F.lit(", x"))).otherwise(F.col("loc"))))
+    found = detect.detect_races(f)
+    assert sorted(map(tuple, detect.distinct_races(f).collect())) == sorted(map(tuple, races.distinct_races(found).collect()))
+    said = found.withColumn("message", race_message(F.col("sig"), F.col("loc1"), F.col("loc2")))
+    want = scope.merge_markers(said.filter("idx1 % 2 = 0"), said.filter("idx1 % 7 = 1"), said.filter("idx1 % 6 = 0"))
+    assert sorted(map(tuple, detect.markers(f, "idx1 % 2 = 0", "idx1 % 7 = 1", "idx1 % 6 = 0").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_races_of_lone_accesses_are_not_grouped(spark):
+    """Every access of the events has a place of its own, so no race goes into a grouping."""
+    single, rest = detect._apart(facts(spark, TABLES))
+    assert single.count() == QUERIES["races_found"](spark, TABLES).count() > 0 and rest.isEmpty()
