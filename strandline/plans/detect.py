@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.lineage import cut
 from strandline.functions.signatures import race_message
-from strandline.operators import changes, deadlocks, locks, meetings, partners, races, threads
+from strandline.operators import changes, deadlocks, locks, meetings, partners, races, relations, threads
 from strandline.sources.facts import Facts
 
 #: Threads' paths are broadcast up to so many entries of their arrays, some 30 MB; with more, accesses are joined with them by shuffle.
@@ -86,6 +86,11 @@ def markers(facts: Facts, shown: str, added: str, removed: str, distance: int |
     return said(single).unionByName(grouped).filter("added or shown and (message is null or not removed)").select("message")
 
 
+def race_relations(facts: Facts) -> DataFrame:
+    """sig, write, n, concurrent of all races, which are not formed for it."""
+    return relations.relations(placed(facts), small(threads.thread_paths(facts.threads)))
+
+
 def moved_races(facts: Facts, lines: DataFrame, distance: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(removed, added) races whose places got new lines (loc, new_loc). Accesses get them before they are paired, so no race is joined with a line."""
     at = facts.accesses.join(lines.select("loc", "new_loc"), "loc", "left")

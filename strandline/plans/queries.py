@@ -213,7 +213,7 @@ def explain_race(spark, sf_dir):
     SELECT sig, write, CAST(count(*) AS INTEGER) AS n, string_agg(other || ':' || kind, ',' ORDER BY other, kind) AS concurrent FROM c GROUP BY sig, write
 """)
 def race_relations(spark, sf_dir):
-    return races.relations(detect.detect_races(facts(spark, sf_dir)))
+    return detect.race_relations(facts(spark, sf_dir))
 
 
 @query("""

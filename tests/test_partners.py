@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions.signatures import race_message
-from strandline.operators import locks, partners, races
+from strandline.operators import locks, partners, races, relations
 from strandline.plans import detect
 from strandline.plans.queries import QUERIES, facts
 from strandline.sources import scope
@@ -62,3 +62,13 @@ def test_races_of_lone_accesses_are_not_grouped(spark):
     """Every access of the events has a place of its own, so no race goes into a grouping."""
     single, rest = detect._apart(facts(spark, TABLES))
     assert single.count() == QUERIES["races_found"](spark, TABLES).count() > 0 and rest.isEmpty()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_relations_without_races(spark, monkeypatch, seed):
+    """Small blocks and batches, accesses of ancestors, several locks."""
+    monkeypatch.setattr(relations, "BLOCK_WRITES", 3)
+    f = program(spark, seed)
+    want = races.relations(detect.detect_races(f)).collect()
+    monkeypatch.setattr(races, "racing", lambda *_: pytest.fail("all pairs are formed"))
+    assert want and sorted(map(tuple, detect.race_relations(f).collect())) == sorted(map(tuple, want))
