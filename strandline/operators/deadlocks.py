@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,17 @@ def _opposite(order: DataFrame) -> DataFrame:
     return order.select(F.col("l2").alias("l1"), F.col("l1").alias("l2"), *[c for c in order.columns if c not in ("l1", "l2")])
 
 
+def _both_ways(order: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Orders that take the lesser lock first, and all others under the opposite one's l1, l2: each pair of opposite orders once."""
+    return order.filter("l1 < l2"), _opposite(order.filter("l1 > l2"))
+
+
+def _found(pairs: DataFrame) -> DataFrame:
+    """tid1, tid2, l1, l2 of pairs in which a takes l1 then l2; tid1 < tid2, and l1, l2 as thread 1 takes them."""
+    first = F.col("a_tid") < F.col("b_tid")
+    return pairs.select(F.least("a_tid", "b_tid").alias("tid1"), F.greatest("a_tid", "b_tid").alias("tid2"), F.when(first, F.col("l1")).otherwise(F.col("l2")).alias("l1"), F.when(first, F.col("l2")).otherwise(F.col("l1")).alias("l2"))
+
+
 def candidates(order: DataFrame) -> DataFrame:
     """tid1, tid2, l1, l2: thread 1 takes l1 then l2, thread 2 the other way round; tid1 < tid2."""
     order = cut(order)
@@ -50,6 +64,46 @@ def _ungated(a: Column, b: Column) -> Column:
     return free(a) | free(b) | F.exists(a, lambda x: F.exists(b, lambda y: ~F.arrays_overlap(x, y)))
 
 
+#: Locks with a bit of their own in masks of gates, the most frequent ones (bit 0 is all others'), and the masks of an order.
+OWN_BITS, MASKS = 62, 4
+
+
+def _masked(orders: DataFrame) -> DataFrame:
+    """orders with m0, m1, ...: their sets of gates as bits, and plain: whether these tell all, as each set has a mask and each lock its bit.
+
+    Where an order has fewer sets, the rest are -1, which has no bit in common with an empty set alone.
+    """
+    used = orders.select(F.explode(F.flatten("gates")).alias("lk")).groupBy("lk").agg(F.count(F.lit(1)).alias("n"))
+    own = used.orderBy(F.desc("n"), "lk").limit(OWN_BITS).agg(F.array_sort(F.collect_list("lk")).alias("_own"))
+    bit = lambda lk: F.call_function("shiftleft", F.lit(1).cast("long"), F.array_position("_own", lk).cast("int"))
+    masks = F.transform("gates", lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda so_far, lk: so_far.bitwiseOR(bit(lk))))
+    each = orders.crossJoin(F.broadcast(own)).withColumn("_m", masks).drop("_own")
+    plain = (F.size("_m") <= MASKS) & ~F.exists("_m", lambda m: m.bitwiseAND(F.lit(1)) != 0)
+    return each.withColumns({f"m{i}": F.coalesce(F.get("_m", F.lit(i)), F.lit(-1).cast("long")) for i in range(MASKS)} | {"plain": plain}).drop("_m")
+
+
+def _ungated_masks() -> Column:
+    """_ungated of plain orders a and b, without functions that keep Spark from compiling the join."""
+    return reduce(or_, [F.col(f"a_m{i}").bitwiseAND(F.col(f"b_m{j}")) == 0 for i in range(MASKS) for j in range(MASKS)])
+
+
+def _of_siblings(placed: DataFrame, gated: bool) -> DataFrame:
+    """Deadlocks of threads that are no ancestors of each other. Gates of plain orders are compared as masks, others one by one."""
+    on = ["up", "l1", "l2"]
+    pairs = lambda a, b: met(side(a, "a", on), side(b, "b", on), on, "a_tid").filter(siblings("a", "b"))
+    one, two = _both_ways(placed)
+    if not gated:
+        return _found(pairs(one, two))
+    (a, x), (b, y) = ((df.filter("plain"), df.filter("not plain")) for df in (one, two))
+    bits = [f"m{i}" for i in range(MASKS)]
+    found = _found(pairs(a.drop("plain", "gates"), b.drop("plain", "gates")).filter(_ungated_masks()))
+    if placed.filter("not plain").isEmpty():
+        return found
+    for left, right in ((x, two), (a, y)):
+        found = found.unionByName(_found(pairs(left.drop("plain", *bits), right.drop("plain", *bits)).filter(_ungated(F.col("a_gates"), F.col("b_gates")))))
+    return found
+
+
 def _of_ancestors(nested: DataFrame, orders: DataFrame, up: DataFrame, gated: bool) -> DataFrame:
     """Deadlocks of a thread with one below it: its acquisitions count one by one, both must lie between the child's start and join."""
     on = ["up", "l1", "l2"]
@@ -60,8 +114,7 @@ def _of_ancestors(nested: DataFrame, orders: DataFrame, up: DataFrame, gated: bo
         at = at.filter(within(F.col(p), F.col("b_cs"), F.col("b_cj")))
     if gated:
         at = at.filter(_ungated(F.array("a_gates"), F.col("b_gates")))
-    first = F.col("a_tid") < F.col("b_tid")
-    return at.select(F.least("a_tid", "b_tid").alias("tid1"), F.greatest("a_tid", "b_tid").alias("tid2"), F.when(first, F.col("l1")).otherwise(F.col("l2")).alias("l1"), F.when(first, F.col("l2")).otherwise(F.col("l1")).alias("l2")).distinct()
+    return _found(at).distinct()
 
 
 def _nested(sections: DataFrame, gated: bool) -> DataFrame:
@@ -77,13 +130,8 @@ def deadlocks(sections: DataFrame, up: DataFrame, gated: bool = False) -> DataFr
     """
     nested = _nested(sections, gated)
     orders = cut(_orders(nested, gated))
-    placed = cut(orders.join(up.filter("child is not null"), "tid"))
-    on = ["up", "l1", "l2"]
-    pairs = met(side(placed, "a", on), side(_opposite(placed), "b", on), on, "a_tid").filter((F.col("a_tid") < F.col("b_tid")) & siblings("a", "b"))
-    if gated:
-        pairs = pairs.filter(_ungated(F.col("a_gates"), F.col("b_gates")))
-    found = pairs.select(F.col("a_tid").alias("tid1"), F.col("b_tid").alias("tid2"), "l1", "l2")
-    return found.unionByName(_of_ancestors(nested, orders, up, gated))
+    placed = cut((_masked(orders) if gated else orders).join(up.filter("child is not null"), "tid"))
+    return _of_siblings(placed, gated).unionByName(_of_ancestors(nested, orders, up, gated))
 
 
 def changed_deadlocks(sections: tuple[DataFrame, DataFrame], up: DataFrame, gated: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -109,9 +157,7 @@ def changed_deadlocks(sections: tuple[DataFrame, DataFrame], up: DataFrame, gate
         known = F.col(f"a_in{v}") & F.col(f"b_in{v}") & siblings("a", "b", v)
         return known & _ungated(F.col(f"a_gates{v}"), F.col(f"b_gates{v}")) if gated else known
 
-    first = F.col("a_tid") < F.col("b_tid")
-    names = (F.least("a_tid", "b_tid").alias("tid1"), F.greatest("a_tid", "b_tid").alias("tid2"), F.when(first, F.col("l1")).otherwise(F.col("l2")).alias("l1"), F.when(first, F.col("l2")).otherwise(F.col("l1")).alias("l2"))
     seen = lambda v: F.coalesce(holds(v), F.lit(False))
     of = lambda i, v: _of_ancestors(nested[i], orders[i].withColumnRenamed(f"gates{v}", "gates"), up.withColumnsRenamed({f"cs{v}": "cs", f"cj{v}": "cj"}).select("tid", "up", "child", "cs", "cj"), gated)
     added, removed = changes.difference(of(0, "_old"), of(1, "_new"))
-    return pairs.filter(seen("_new") & ~seen("_old")).select(*names).unionByName(added), pairs.filter(seen("_old") & ~seen("_new")).select(*names).unionByName(removed)
+    return _found(pairs.filter(seen("_new") & ~seen("_old"))).unionByName(added), _found(pairs.filter(seen("_old") & ~seen("_new"))).unionByName(removed)

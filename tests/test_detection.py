@@ -300,6 +300,40 @@ def test_deadlocks_of_one_pair_of_locks_are_dealt_over_tasks(spark, monkeypatch,
     assert got.count() == 100 * 100 and largest_share(got) < 0.5
 
 
+@pytest.mark.parametrize("masks, bits", [(4, 62), (1, 62), (4, 1)])
+def test_gates_as_masks_are_those_one_by_one(spark, monkeypatch, masks, bits):
+    monkeypatch.setattr(deadlocks, "MASKS", masks)
+    monkeypatch.setattr(deadlocks, "OWN_BITS", bits)
+    f = many_threads(spark, 5, n=60, n_locks=6, events=30)
+    plain, got = plain_deadlocks(f), rows(detect.detect_deadlocks(f, True))
+    assert got == plain_deadlocks(f, True) and 100 < len(got) < len(plain)
+
+
+def test_gates_of_few_sets_keep_no_join_of_siblings_from_being_compiled(spark, monkeypatch):
+    ungated, seen = deadlocks._ungated, []
+    monkeypatch.setattr(deadlocks, "_ungated", lambda a, b: seen.append(1) or ungated(a, b))
+    f = facts(spark, [], [(t, p, k, lk) for t in (1, 2) for p, k, lk in ((1, "LOCK", "G"), (2, "LOCK", f"L{t}"), (3, "LOCK", f"L{3 - t}"), (4, "UNLOCK", f"L{3 - t}"), (5, "UNLOCK", f"L{t}"), (6, "UNLOCK", "G"))], [(0, None, 0, None), (1, 0, 1, None), (2, 0, 2, None)])
+    assert not detect.detect_deadlocks(f, True).collect() and len(detect.detect_deadlocks(f).collect()) == 1
+    assert len(seen) == 1  # of ancestors
+
+
+@pytest.mark.parametrize("what", ["deadlocks", "gated"])
+def test_opposite_orders_are_paired_once(spark, monkeypatch, what):
+    met, formed = deadlocks.met, []
+
+    def counted(*args):
+        got = met(*args)
+        formed.append(got.count())
+        return got
+
+    monkeypatch.setattr(deadlocks, "met", counted)
+    order = lambda t: ("A", "B") if t % 2 else ("B", "A")
+    locked = [(t, p, k, order(t)[i]) for t in range(1, 41) for p, k, i in ((1, "LOCK", 0), (2, "LOCK", 1), (3, "UNLOCK", 1), (4, "UNLOCK", 0))]
+    f = facts(spark, [], locked, [(0, None, 0, None), *((t, 0, t, None) for t in range(1, 41))])
+    got = detect.detect_deadlocks(f, what == "gated")
+    assert got.count() == 400 and sum(formed) == 400
+
+
 def one_hot_variable(spark):
     """200 threads of one parent that write one variable each."""
     return facts(spark, [(t, 1, "WRITE", "v") for t in range(1, 201)], [], [(0, None, 0, None), *((t, 0, t, None) for t in range(1, 201))])
